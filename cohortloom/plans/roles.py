@@ -129,7 +129,7 @@ from {{orders}}
 # Retrieval hits: a supplier is the query, an order the document, a line the chunk.
 HITS = f"""
 select l_suppkey as query_id, l_orderkey as doc_id,
-  {_s('l_orderkey')} || ':' || {_s('l_linenumber')} || ':' || {_s('l_partkey')} as chunk_id,
+  {_s('l_orderkey')} || ':' || {_s('l_linenumber')} || ':' || {_s('l_partkey')} || ':' || {_s('l_suppkey')} as chunk_id,
   case when l_linestatus = 'F' then 'paragraph_window' else 'table_row' end as chunk_type,
   case when l_linestatus = 'F' then case l_returnflag when 'A' then 'Results' when 'N' then 'Dose and technique' else 'References' end else '' end as section,
   case when l_linestatus = 'O' then 'Table ' || {_s('l_linenumber')} else null end as table_number,

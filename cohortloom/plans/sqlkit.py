@@ -107,3 +107,33 @@ select d.detail_id, d.study_id, s.document_name, {disease('s.cancer_type')} as c
     {gy("json_extract_string(d.additional_details, '$.CSI_dose')")}, {gy('d.evidence_quote')}) as best_dose_gy,
   d.target_volume, s.number_of_patients
 from details d join studies s on d.study_id = s.study_id)"""
+
+
+def lines(col: str, sep: str = "chr(10)") -> str:
+    return f"list_filter(list_transform(string_split({col}, {sep}), lambda p: trim(p)), lambda p: p <> '')"
+
+
+def count_in(col: str, words) -> str:
+    return "(" + " + ".join(f"cast(contains({col}, {q(w)}) as int)" for w in words) + ")"
+
+
+def skip_section(name: str, text: str) -> str:
+    from cohortloom.operators import filters
+
+    clean = f"trim(regexp_replace(regexp_replace(lower(trim({name})), '[#*_\\-\\d.]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+    kind = case_rules(f"trim(regexp_replace(lower(trim({name})), '^#+', ''))", rules.SECTION_PATTERNS)
+    start = f"trim(substr({text}, 1, 300))"
+    head = f"lower(substr({text}, 1, 500))"
+    return f"""({has_any(clean, filters.SKIPPED_SECTIONS)} or coalesce({kind} in ('references', 'acknowledgments', 'supplementary'), false)
+      or (regexp_matches({start}, '^\\d+\\.\\s+[A-Z]') and len(regexp_extract_all({start}, '\\n\\s*\\d+\\.\\s+')) >= 3)
+      or ({count_in(head, filters.AFFILIATION_WORDS)} >= 3 and {count_in(head, filters.CONTENT_WORDS)} <= 1))"""
+
+
+def text_clean(col: str) -> str:
+    out = f"regexp_replace({col}, '\\[\\^\\d+\\]', '', 'g')"
+    out = f"regexp_replace({out}, '<br\\s*/?>', chr(10), 'g')"
+    out = f"regexp_replace({out}, '\\\\(?:mathrm|text|textbf|textit)\\{{([^}}]*)\\}}', '\\1', 'g')"
+    out = f"regexp_replace({out}, '\\$([^$]*)\\$', '\\1', 'g')"
+    out = f"regexp_replace({out}, '\\\\%', '%', 'g')"
+    out = f"regexp_replace({out}, '\\\\[a-zA-Z]+', '', 'g')"
+    return f"trim(regexp_replace({out}, '\\s{{3,}}', chr(10) || chr(10), 'g'))"
