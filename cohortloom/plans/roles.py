@@ -103,7 +103,8 @@ select o_orderkey as study_id, 'study_' || {_s('o_orderkey')} as doc_id, o_custk
   || case when o_orderpriority = '1-URGENT' then '. RTOG ' || {_s(f'100 + {_M}')} || ' randomized phase III trial'
       when o_orderpriority = '2-HIGH' then '. NCCN guideline (meta-analysis)' when o_orderpriority = '3-MEDIUM' then '. KEYNOTE pooled analysis'
       else '. Single arm cohort' end
-  || '. Mean dose < ' || {_s(_M)} || ' Gy, V20 < ' || {_s(_D)} || '%.' as text
+  || '. Mean dose < ' || {_s(_M)} || ' Gy, V20 < ' || {_s(_D)} || '%.'
+  || case when {_D} < 6 then ' After chemotherapy.' when {_D} < 12 then ' After surgery.' when {_D} < 18 then ' With immunotherapy.' when {_D} < 22 then ' Adjuvant intent.' else '' end as text
 from {{orders}}
 """
 
@@ -224,6 +225,8 @@ def with_roles(sql: str, names: list[str]) -> str:
     if not names:
         return sql
     ctes = ",\n".join(f"{n} AS ({role_sql(n).strip()})" for n in names)
+    if sql[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{sql[14:].lstrip()}"
     if sql[:4].upper() == "WITH":
         return f"WITH {ctes},\n{sql[4:].lstrip()}"
     return f"WITH {ctes}\n{sql}"
