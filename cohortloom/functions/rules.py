@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortloom.functions.binding import let
+
 # Canonical phases with their spellings, tried in the order below.
 PHASE_SPELLINGS: list[tuple[str, list[str]]] = [
     ("Phase I/II", ["Phase 1/2", "Phase I-II", "Phase 1-2", "Phase I and II", "Phase 1 / 2"]),
@@ -189,8 +191,8 @@ def first_contained(txt: Column, rules: Sequence[tuple[str, Sequence[str]]], def
     table = F.array(
         *(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, needles)).alias("needles")) for name, needles in rules)
     )
-    hits = F.filter(table, lambda r: F.exists(r["needles"], lambda n: txt.contains(n)))
-    return F.coalesce(F.get(hits, F.lit(0))["name"], default)
+    first = let(txt, lambda t: F.get(F.filter(table, lambda r: F.exists(r["needles"], lambda n: t.contains(n))), F.lit(0))["name"])
+    return F.coalesce(first, default)
 
 
 def _blank_to_null(txt: Column) -> Column:

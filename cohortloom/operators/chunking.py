@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.binding import let
 from cohortloom.operators.filters import count_contained, skip_section
 
 # Packing size in tokens, overview length, character windows.
@@ -66,9 +67,12 @@ def section_windows(docs: DataFrame, key: str, text: str, max_tokens: int = MAX_
 
 def window_texts(parts: Column, wins: Column) -> Column:
     """Joined text of every window of :func:`pack`, still inside the document row."""
-    return F.transform(
-        F.array_distinct(wins),
-        lambda w: F.array_join(F.slice(parts, F.array_position(wins, w).cast("int"), F.size(F.filter(wins, lambda x: x == w))), "\n\n"),
+    return let(
+        F.struct(parts.alias("p"), wins.alias("w")),
+        lambda v: F.transform(
+            F.array_distinct(v["w"]),
+            lambda n: F.array_join(F.slice(v["p"], F.array_position(v["w"], n).cast("int"), F.size(F.filter(v["w"], lambda x: x == n))), "\n\n"),
+        ),
     )
 
 
@@ -112,11 +116,12 @@ def text_clean(text: Column) -> Column:
 
 def overview_chunk(docs: DataFrame, key: str, sections: str) -> DataFrame:
     """Headed content sections up to the overview length, and whether the first is an abstract."""
-    kept = F.filter(
+    content = F.filter(
         sections,
         lambda s: (F.trim(s["content"]) != "") & ~skip_section(s["name"], s["content"])
-        & (count_contained(F.lower(F.substring(s["content"], 1, 300)), AUTHOR_SIGNALS) < 3),
+        & let(F.lower(F.substring(s["content"], 1, 300)), lambda head: count_contained(head, AUTHOR_SIGNALS) < 3),
     )
+    docs, kept = docs.select(key, content.alias("kept")), F.col("kept")
     headed = F.transform(kept, lambda s: F.concat(F.lit("## "), F.trim(F.regexp_replace(F.trim(s["name"]), "^#+", "")), F.lit("\n\n"), F.trim(s["content"])))
     overview = F.trim(F.substring(F.array_join(headed, "\n\n"), 1, OVERVIEW_CHARS))
     first = F.lower(F.substring(F.get(kept, F.lit(0))["content"], 1, 500))
@@ -190,10 +195,14 @@ def section_align(docs: DataFrame, key: str, chunks: str, sections: str) -> Data
         return F.regexp_replace(F.trim(F.regexp_replace(low, r"\s+", " ")), "[^a-z0-9 ]", "")
 
     def shingles(head: Column) -> Column:
-        words = F.filter(F.split(head, " "), lambda w: w != "")
-        last = F.least(F.size(words) - 4, F.lit(10))
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 5), " "))
-        return F.when((last >= 1) & (F.length(head) >= 20), grams).otherwise(F.array().cast("array<string>"))
+        none = F.array().cast("array<string>")
+
+        def grams(words: Column) -> Column:
+            last = F.least(F.size(words) - 4, F.lit(10))
+            made = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 5), " "))
+            return F.when((last >= 1) & (F.length(head) >= 20), made).otherwise(none)
+
+        return let(F.filter(F.split(head, " "), lambda w: w != ""), grams)
 
     cleaned = docs.select(
         key,
@@ -203,7 +212,6 @@ def section_align(docs: DataFrame, key: str, chunks: str, sections: str) -> Data
             lambda s: F.struct(s["name"].alias("name"), clean(s["name"]).alias("name_clean"), clean(F.substring(s["content"], 1, 400)).alias("head")),
         ).alias("secs"),
     )
-    # Explode to one chunk per row with the section features of its document made once.
     prepared = cleaned.select(
         key,
         "chunk_clean",
@@ -217,13 +225,17 @@ def section_align(docs: DataFrame, key: str, chunks: str, sections: str) -> Data
         by_text = F.when((F.length(s["head"]) >= 30) & chunk.contains(s["head"]), 80 + F.length(s["head"])).otherwise(0)
         return F.greatest(by_name, by_shingle, by_text)
 
-    best = F.transform(
-        F.filter(F.transform("chunk_clean", lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda e: F.length(e["c"]) >= 20),
-        lambda e: F.struct(
-            e["i"].alias("chunk_idx"),
-            F.array_max(F.transform("secs", lambda s, j: F.struct(score(e["c"], s).alias("score"), (-j).alias("ord"), s["name"].alias("name")))).alias("m"),
-        ),
-    )
+    def align(secs: Column) -> Column:
+        numbered = F.transform("chunk_clean", lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+        return F.transform(
+            F.filter(numbered, lambda e: F.length(e["c"]) >= 20),
+            lambda e: F.struct(
+                e["i"].alias("chunk_idx"),
+                F.array_max(F.transform(secs, lambda s, j: F.struct(score(e["c"], s).alias("score"), (-j).alias("ord"), s["name"].alias("name")))).alias("m"),
+            ),
+        )
+
+    best = let(F.col("secs"), align)
     rows = prepared.select(key, F.explode(best).alias("b")).select(
         key, "b.chunk_idx", F.col("b.m.score").alias("score"), F.col("b.m.name").alias("section")
     )

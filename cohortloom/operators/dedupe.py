@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.binding import let
 from cohortloom.session import ensure_checkpoint_dir
 
 
@@ -125,6 +126,8 @@ def reconcile_fields(rule: DataFrame, model: DataFrame, key: str, model_first: S
 
 def array_move(source: Column, target: Column, exempt: Sequence[str]) -> Column:
     """Names of ``source`` that ``target`` does not hold, exempt names always kept."""
-    lowered = F.transform(target, lambda x: F.lower(x))
     keep = [e.lower() for e in exempt]
-    return F.filter(source, lambda x: ~F.array_contains(lowered, F.lower(x)) | F.lower(x).isin(keep))
+    return let(
+        F.transform(target, lambda x: F.lower(x)),
+        lambda held: F.filter(source, lambda x: ~F.array_contains(held, F.lower(x)) | F.lower(x).isin(keep)),
+    )

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.rules import MODALITY_WORDS, any_contains, section_type
+from cohortloom.functions.binding import let
+from cohortloom.functions.rules import MODALITY_WORDS, SECTION_PATTERNS, any_contains, section_type
 
 # Words that show a race or ethnicity group in prose.
 RACE_WORDS: dict[str, list[str]] = {
@@ -25,6 +26,7 @@ SKIPPED_SECTIONS = [
     "supplementary material", "data sharing", "prior presentation", "affiliations", "corresponding author",
     "footnotes", "editorial", "correspondence to", "supplemental data", "trial registration",
 ]
+BACK_MATTER = ("references", "acknowledgments", "supplementary")
 # Words that show an affiliation list, and words that show clinical content.
 AFFILIATION_WORDS = ["department of", "university", "hospital", "institute", "school of medicine", "medical center",
                      "e-mail:", "correspondence", "@", "orcid"]
@@ -144,9 +146,12 @@ def skip_section(name: Column, text: Column) -> Column:
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[#*_\-\d.]+", " "), r"\s+", " "))
     start = F.trim(F.substring(text, 1, 300))
     numbered = start.rlike(r"^\d+\.\s+[A-Z]") & (F.regexp_count(start, F.lit(r"\n\s*\d+\.\s+")) >= 3)
-    head = F.lower(F.substring(text, 1, 500))
-    affiliations = (count_contained(head, AFFILIATION_WORDS) >= 3) & (count_contained(head, CONTENT_WORDS) <= 1)
-    by_type = section_type(name).isin("references", "acknowledgments", "supplementary")
+    affiliations = let(
+        F.lower(F.substring(text, 1, 500)),
+        lambda head: (count_contained(head, AFFILIATION_WORDS) >= 3) & (count_contained(head, CONTENT_WORDS) <= 1),
+    )
+    backmatter = "|".join(p for p, kind in SECTION_PATTERNS if kind in BACK_MATTER)
+    by_type = F.when(F.lower(name).rlike(backmatter), section_type(name).isin(*BACK_MATTER)).otherwise(False)
     return any_contains(clean, SKIPPED_SECTIONS) | by_type | numbered | affiliations
 
 

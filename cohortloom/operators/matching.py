@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.functions.binding import let
 from cohortloom.operators.retrieval import top_per
 from cohortloom.session import broadcast_checked
 
@@ -173,7 +174,7 @@ def match_breakdown(scored: DataFrame, axes: Sequence[str], weights: str) -> Dat
 
 def fractional_score(wanted: Column, text: Column, weight: float) -> Column:
     """share of the wanted terms the text holds, times the weight."""
-    hits = F.size(F.filter(wanted, lambda t: F.lower(text).contains(F.lower(t))))
+    hits = let(F.lower(text), lambda low: F.size(F.filter(wanted, lambda t: low.contains(F.lower(t)))))
     return F.when(F.size(wanted) > 0, hits / F.size(wanted) * weight).otherwise(0.0)
 
 
@@ -267,22 +268,36 @@ def _stage_index(roman: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, ["I", "II", "III", "IV"])), roman)
 
 
-def stage_subsumption(patient: Column, study: Column) -> Column:
-    """MATCH, COMPATIBLE (sub-stage or range) or MISMATCH."""
-    clean = lambda c: F.upper(F.trim(F.regexp_replace(F.trim(c), r"(?i)^stage\s*", "")))
-    p, s = clean(patient), clean(study)
-    group = lambda c, pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
+def stage_features(stage: Column) -> Column:
+    """Stage text parsed once: clean text, base, suffix, and the ends of a range as positions."""
     one, span = rf"^({_ROMAN})([A-C]?)$", rf"^({_ROMAN})\s*[-–]\s*({_ROMAN})$"
-    lo, hi, at = _stage_index(group(s, span, 1)), _stage_index(group(s, span, 2)), _stage_index(group(p, one, 1))
-    same_base = group(p, one, 1) == group(s, one, 1)
-    one_sided = (F.regexp_extract(p, one, 2) == "") != (F.regexp_extract(s, one, 2) == "")
+    group = lambda c, pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
+    return let(
+        F.upper(F.trim(F.regexp_replace(F.trim(stage), r"(?i)^stage\s*", ""))),
+        lambda c: F.struct(
+            c.alias("clean"), group(c, one, 1).alias("base"), F.regexp_extract(c, one, 2).alias("suffix"), _stage_index(group(c, one, 1)).alias("at"),
+            _stage_index(group(c, span, 1)).alias("lo"), _stage_index(group(c, span, 2)).alias("hi"),
+        ),
+    )
+
+
+def stage_verdict(p: Column, s: Column) -> Column:
+    """MATCH, COMPATIBLE (sub-stage or range) or MISMATCH of two parsed stages."""
+    missing = F.coalesce(p["clean"], F.lit("")) == ""
+    missing = missing | (F.coalesce(s["clean"], F.lit("")) == "")
     return (
-        F.when(p.isNull() | s.isNull() | (p == "") | (s == ""), "MISMATCH").when(p == s, "MATCH")
-        .when(lo.isNotNull(), F.when(at.between(lo, hi), "COMPATIBLE").otherwise("MISMATCH"))
-        .when(same_base & one_sided, "COMPATIBLE").otherwise("MISMATCH")
+        F.when(missing, "MISMATCH").when(p["clean"] == s["clean"], "MATCH")
+        .when(s["lo"].isNotNull(), F.when(p["at"].between(s["lo"], s["hi"]), "COMPATIBLE").otherwise("MISMATCH"))
+        .when((p["base"] == s["base"]) & ((p["suffix"] == "") != (s["suffix"] == "")), "COMPATIBLE").otherwise("MISMATCH")
     )
 
 
+def stage_subsumption(patient: Column, study: Column) -> Column:
+    """verdict on two stage texts."""
+    both = F.struct(stage_features(patient).alias("p"), stage_features(study).alias("s"))
+    return let(both, lambda v: stage_verdict(v["p"], v["s"]))
+
+
 # ---- applicability -----------------------------------------------------------------------------
 
 

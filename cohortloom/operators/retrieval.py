@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.functions.binding import let
 from cohortloom.functions.parse import round_half_up
 from cohortloom.session import broadcast_checked
 
@@ -175,12 +176,16 @@ def per_query_max_norm(df: DataFrame, score: str, out: str) -> DataFrame:
 
 def keyword_density(query: Column, text: Column) -> Column:
     """Share of query words in the text plus a bonus for different ones."""
-    wanted = F.array_distinct(F.filter(F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != ""), lambda w: F.length(w) > 2))
+    wanted = F.array_distinct(F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.length(w) > 2))
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    hits = F.size(F.filter(words, lambda w: F.array_contains(wanted, w)))
-    unique = F.size(F.array_intersect(words, wanted))
-    value = hits / (F.size(words) + 1) + unique / F.size(wanted) * 0.3
-    return F.when((F.size(wanted) > 0) & (F.size(words) > 0), value).otherwise(0.0)
+
+    def density(v: Column) -> Column:
+        q, d = v["q"], v["d"]
+        hits = F.size(F.filter(d, lambda w: F.array_contains(q, w)))
+        value = hits / (F.size(d) + 1) + F.size(F.array_intersect(d, q)) / F.size(q) * 0.3
+        return F.when((F.size(q) > 0) & (F.size(d) > 0), value).otherwise(0.0)
+
+    return let(F.struct(wanted.alias("q"), words.alias("d")), density)
 
 
 def hybrid_alpha(df: DataFrame, alpha: float = 0.7) -> DataFrame:
@@ -198,11 +203,15 @@ def hybrid_overlap(df: DataFrame) -> DataFrame:
         """Whole words of at least three plain letters or digits; accented words do not count in part."""
         return F.filter(tokens(t, r"[\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z0-9]{3,}$"))
 
-    q = F.array_distinct(words(F.col("query_text")))
-    overlap = F.size(F.array_intersect(q, words(F.col("text"))))
-    lexical = F.when(F.size(q) > 0, overlap / F.size(q)).otherwise(0.0)
-    phrases = F.size(F.filter(q, lambda t: (F.length(t) > 4) & F.lower(F.col("text")).contains(t)))
-    return df.withColumn("score", F.col("score_dense") * 0.7 + lexical * 0.3 + phrases * 0.05)
+    def lexical(v: Column) -> Column:
+        overlap = F.size(F.array_intersect(v["q"], v["d"]))
+        phrases = F.size(F.filter(v["q"], lambda t: (F.length(t) > 4) & v["low"].contains(t)))
+        return F.when(F.size(v["q"]) > 0, overlap / F.size(v["q"])).otherwise(0.0) * 0.3 + phrases * 0.05
+
+    parts = F.struct(
+        F.array_distinct(words(F.col("query_text"))).alias("q"), words(F.col("text")).alias("d"), F.lower("text").alias("low")
+    )
+    return df.withColumn("score", F.col("score_dense") * 0.7 + let(parts, lexical))
 
 
 # ---- routing and boosts ------------------------------------------------------------------------

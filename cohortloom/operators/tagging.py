@@ -139,8 +139,12 @@ def occurrences(df: DataFrame, key: str, text: str, entries: Sequence[tuple[str,
         F.sequence(F.lit(1), F.size("segs") - 1),
         lambda n: F.aggregate(F.slice("segs", 1, n), F.lit(0), lambda a, s: a + F.length(s)) + (n - 1) * width,
     )
-    placed = split.select(key, "low", "variant", "canonical", "slot", F.explode(starts).alias("start"))
-    return placed.withColumn("end", F.col("start") + F.length("variant"))
+    placed = split.select(key, "low", "variant", "canonical", "slot", F.explode(starts).alias("start")).withColumn("end", F.col("start") + width)
+    return placed.select(
+        "*",
+        _before(NEG_BEFORE_CHARS).alias("before_neg"), _after(NEG_AFTER_CHARS).alias("after_neg"),
+        _before(30).alias("before_status"), _after(20).alias("after_status"),
+    )
 
 
 def _before(chars: int) -> Column:
@@ -156,15 +160,15 @@ def _after(chars: int) -> Column:
 
 def negated(check_after: Column | None = None) -> Column:
     """A cue before the term in its sentence, or directly behind it."""
-    behind = _after(NEG_AFTER_CHARS).rlike(NEG_AFTER)
-    return _before(NEG_BEFORE_CHARS).rlike(NEG_BEFORE) | (behind if check_after is None else check_after & behind)
+    behind = F.col("after_neg").rlike(NEG_AFTER)
+    return F.col("before_neg").rlike(NEG_BEFORE) | (behind if check_after is None else check_after & behind)
 
 
 def status() -> Column:
     """Polarity or value of a marker at its place, NULL when none is stated."""
     canonical = F.lower("canonical")
     own = F.when(canonical.rlike(r"-(?:high|h)\b"), "high").when(canonical.rlike(r"-(?:low|l)\b"), "low")
-    after, before = _after(20), _before(30)
+    after, before = F.col("after_status"), F.col("before_status")
     number = F.regexp_extract(after, STATUS_VALUE, 1)
     value = F.when(number != "", F.concat(F.lit("value:"), number, F.regexp_extract(after, STATUS_VALUE, 2)))
     behind = F.coalesce(*[F.when(after.rlike(p), F.lit(s)) for p, s in STATUS_AFTER])
@@ -319,25 +323,23 @@ NUMBERS = [
 ]
 
 
-def _group(text: Column, pattern: str, i: int) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)), lambda v: F.nullif(v, F.lit("")))
-
-
 def findings(text: Column, pattern: str, groups: int) -> Column:
     """Array of (value, extra, extra2, raw) of one statement pattern, in text order."""
-    value, raw = _group(text, pattern, 1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    extra = _group(text, pattern, 2) if groups > 1 else F.transform(raw, lambda _: F.lit(None).cast("string"))
-    extra2 = _group(text, pattern, 3) if groups > 2 else F.transform(raw, lambda _: F.lit(None).cast("string"))
-    return F.transform(
-        F.arrays_zip(value.alias("v"), extra.alias("e"), extra2.alias("f"), raw.alias("r")),
-        lambda x: F.struct(x["v"].try_cast("double").alias("value"), x["e"].try_cast("double").alias("extra"), x["f"].try_cast("double").alias("extra2"), x["r"].alias("raw")),
-    )
+    none = F.lit(None).cast("double")
 
+    def read(raw: Column) -> Column:
+        """Groups of one statement, read from the statement alone: the text is scanned once."""
+        group = lambda i: F.nullif(F.regexp_extract(raw, pattern, i), F.lit("")).try_cast("double") if i <= groups else none
+        return F.struct(group(1).alias("value"), group(2).alias("extra"), group(3).alias("extra2"), raw.alias("raw"))
 
-def findings_long(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """Every dose, rate, hazard ratio and p-value with its place among its kind."""
-    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), findings(F.col(text), p, n).alias("items")) for kind, p, n in FINDINGS])
-    rows = df.select(*keys, F.explode(kinds).alias("k")).select(*keys, "k.kind", F.posexplode("k.items").alias("pos", "f"))
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), read)
+
+
+def findings_long(df: DataFrame, keys: Sequence[str], text: str, kinds: Sequence[str] | None = None) -> DataFrame:
+    """Every dose, rate, hazard ratio and p-value (or the kinds asked for) with its place among its kind."""
+    wanted = [f for f in FINDINGS if kinds is None or f[0] in kinds]
+    lists = F.array(*[F.struct(F.lit(kind).alias("kind"), findings(F.col(text), p, n).alias("items")) for kind, p, n in wanted])
+    rows = df.select(*keys, F.explode(lists).alias("k")).select(*keys, "k.kind", F.posexplode("k.items").alias("pos", "f"))
     return rows.select(*keys, "kind", "pos", "f.value", "f.extra", "f.extra2", "f.raw")
 
 

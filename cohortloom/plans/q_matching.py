@@ -21,7 +21,7 @@ def _studies(b):
         F.col("modality").alias("study_modality"), "pub_year", "region_key", "status", F.col("price").alias("score"),
         parse.first_number(F.col("median_age"), r"(\d+\.?\d*)").alias("median_age"),
         rules.first_rule(F.lower("cancer_type"), SITE_RULES).alias("site"),
-        rules.marker_status(F.col("molecular_subtype")).alias("status_map"),
+        rules.marker_status(F.col("molecular_subtype")).alias("status_map"), m.stage_features(F.col("stage_text")).alias("study_stage"),
     )
 
 
@@ -31,7 +31,7 @@ STUDY_SQL = f"""st as (select study_id, doc_id, study_name, study_type, cancer_t
 
 
 def _pairs(b):
-    return m.case_pairs(b.cases, _studies(b))
+    return m.case_pairs(b.cases.withColumn("case_stage", m.stage_features(F.col("stage"))), _studies(b))
 
 
 TOP = 20
@@ -208,7 +208,7 @@ def _structured(b):
     c = F.col
     pairs = _pairs(b).join(F.broadcast(_weight_map(b)), "case_id")
     bio = m.map_alias_match(c("status_map"), c("marker"), c("marker_status"))
-    verdict = m.stage_subsumption(c("stage"), c("stage_text"))
+    verdict = m.stage_verdict(c("case_stage"), c("study_stage"))
     rows = pairs.withColumn("bio", bio).withColumn("sv", verdict).filter(m.contra_exclusion(~c("bio")))
     yes = lambda cond: F.when(F.coalesce(cond, F.lit(False)), 1.0).otherwise(0.0)
     shares = {

@@ -48,7 +48,7 @@ CONS_SQL = f"""{FIND_SQL}, cf as (select distinct a.query_id, f.study_id, kind,
 
 
 def _consensus_rows(b):
-    return q.consensus(t.findings_long(b.abstracts, ["query_id", "study_id"], "text"), "query_id", "study_id")
+    return q.consensus(t.findings_long(b.abstracts, ["query_id", "study_id"], "text", ["dose", "survival_rate"]), "query_id", "study_id")
 
 
 @query("consensus", f"WITH {CONS_SQL} select * from cons", "abstracts")
@@ -70,7 +70,7 @@ def _confidence(b):
 
 @query("dose_table", f"WITH {FIND_SQL} select study_id, pos, value as dose, extra as fractions, {k.rnd('value / extra', 2)} as per_fraction from finds where kind = 'dose' and pos < 2", "abstracts")
 def _dose_table(b):
-    return q.dose_table(t.findings_long(b.abstracts, ["study_id"], "text"), "study_id")
+    return q.dose_table(t.findings_long(b.abstracts, ["study_id"], "text", ["dose"]), "study_id")
 
 
 @query(
@@ -80,7 +80,7 @@ def _dose_table(b):
     "abstracts",
 )
 def _results(b):
-    return q.results_comparison(t.findings_long(b.abstracts, ["study_id"], "text"), "study_id")
+    return q.results_comparison(t.findings_long(b.abstracts, ["study_id"], "text", ["survival_rate", "hazard_ratio"]), "study_id")
 
 
 # ---- grounding: the numbers of an abstract against those of its treatment records ---------------
