@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.plans import roles
+from cohortloom.sources.scan import read_table, spread
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -22,13 +23,15 @@ class Bed:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = read_table(self.spark, self.sf_dir, name)
+        return spread(df) if name in roles.TEXT_TABLES else df
 
     def role(self, name: str) -> DataFrame:
         sql, tables = roles.ROLES[name]
-        return self.spark.sql(
-            sql.format(**{t: f"{{{t}}}" for t in tables}), **{t: self.table(t) for t in tables}
-        )
+        inputs = {t: read_table(self.spark, self.sf_dir, t) for t in tables}
+        if name in roles.TEXT_ROLES:
+            inputs[tables[0]] = spread(inputs[tables[0]])
+        return self.spark.sql(sql.format(**{t: f"{{{t}}}" for t in tables}), **inputs)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -213,6 +213,11 @@ ROLES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+# Tables and roles whose rows are parsed as text; their scan is spread over the cores.
+TEXT_TABLES = frozenset({"documents", "pages"})
+TEXT_ROLES = frozenset({"studies", "details", "abstracts", "notes"})
+
+
 def role_sql(name: str) -> str:
     """The role as plain SQL over the given tables (used inside oracle queries)."""
     sql, tables = ROLES[name]
