@@ -52,14 +52,14 @@ def _knn(b):
 
 @query(
     "frame_search",
-    f"""WITH {CENTROID_SQL}, f as (select vec_id, case when label % 2 = 0 then 'Breast Cancer' else 'lung' end as frame_type from embeddings),
+    f"""WITH {CENTROID_SQL}, f as (select vec_id, case when label < 5 then 'Breast Cancer' else 'lung' end as frame_type from embeddings),
     s as (select c.query_id, e.vec_id, sum(c.x * cast(e.x as double)) as dot from c join e using (d) join f using (vec_id) where contains('breast cancer', lower(frame_type)) or contains(lower(frame_type), 'breast') group by 1, 2),
     z as (select query_id, vec_id, dot / (cn.n * en.n) as score from s join cn using (query_id) join en using (vec_id))
     select query_id, vec_id, {sq6('score')} as score_dense, row_number() over (partition by query_id order by score desc, vec_id) as rank from z qualify rank <= 5""",
 )
 def _frame_search(b):
     """Neighbours among frames whose type contains the wanted one or is contained in it."""
-    frames = b.embeddings.withColumn("frame_type", F.when(F.col("label") % 2 == 0, "Breast Cancer").otherwise("lung"))
+    frames = b.embeddings.withColumn("frame_type", F.when(F.col("label") < 5, "Breast Cancer").otherwise("lung"))
     low = F.lower("frame_type")
     kept = frames.filter(low.contains("breast") | F.lit("breast cancer").contains(low))
     queries = r.centroids(b.embeddings, "label", "embedding").withColumnRenamed("label", "query_id")
@@ -408,7 +408,8 @@ def _expand(b):
 )
 def _conversation(b):
     cited = b.orders.filter(F.col("o_orderstatus") == "F").select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("study_"), F.col("o_orderkey").cast("string")).alias("doc_id"), "o_orderdate", "o_orderkey")
-    history = r.top_per(cited, ["query_id"], [F.desc("o_orderdate"), F.asc("o_orderkey")], 1_000_000_000, "recency").select("query_id", "doc_id", "recency")
+    last = r.top_per(cited, ["query_id"], [F.desc("o_orderdate"), F.asc("o_orderkey")], 3, "recency").select("query_id", "doc_id", "recency")
+    history = cited.select("query_id", "doc_id").join(last, ["query_id", "doc_id"], "left").fillna(4, ["recency"])
     rows = _apool(b).withColumn("s", F.col("score") / 100000 - 3)
     return r.history_boost(rows, history, "s").select("query_id", "doc_id", "boosted")
 

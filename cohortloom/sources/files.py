@@ -25,12 +25,12 @@ def read_processed_docs(spark: SparkSession, root: str, schema: T.StructType | s
         spark.read.option("recursiveFileLookup", True).option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(root)
     )
     path = F.input_file_name()
-    parsed = raw.select(
+    parsed = raw.filter(F.get_json_object("value", "$").isNotNull()).select(
         F.regexp_replace(F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1), "^category=", "").alias("category"),
         F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("doc_dir"),
         F.from_json("value", schema).alias("doc"),
     )
-    return parsed.filter(F.col("doc").isNotNull())
+    return parsed
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
