@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.binding import let
+
 # Fixed values: (canonical, slot, variants) of the tagged concepts.
 VOCABULARY: list[tuple[str, str, list[str]]] = [
     ("Breast", "site", ["breast"]),
@@ -195,22 +197,27 @@ GLEASON_RE = r"(?i)\bgleason\s*(?:score\s*)?(\d)\s*\+\s*(\d)"
 
 def stage_extract(text: Column) -> Column:
     """Sorted distinct "Stage X" with Arabic numerals turned Roman."""
-    groups = F.regexp_extract_all(text, F.lit(STAGE_RE), F.lit(1))
-    letters = F.regexp_extract_all(text, F.lit(STAGE_RE), F.lit(2))
 
-    def roman(g: Column) -> Column:
-        return F.coalesce(*[F.when(g == a, F.lit(r)) for a, r in (("1", "I"), ("2", "II"), ("3", "III"), ("4", "IV"))], F.upper(g))
+    def named(raw: Column) -> Column:
+        number, letter = F.upper(F.regexp_extract(raw, STAGE_RE, 1)), F.upper(F.regexp_extract(raw, STAGE_RE, 2))
+        roman = F.coalesce(*[F.when(number == n, F.lit(r)) for n, r in (("1", "I"), ("2", "II"), ("3", "III"), ("4", "IV"))], number)
+        return F.concat(F.lit("Stage "), roman, letter)
 
-    return F.array_sort(F.array_distinct(F.zip_with(groups, letters, lambda g, s: F.concat(F.lit("Stage "), roman(g), F.upper(s)))))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(STAGE_RE), F.lit(0)), named)))
 
 
 def tnm_extract(text: Column) -> Column:
     """T, N and M of the first cluster; N and M inherit its prefix."""
-    g = lambda i: F.lower(F.regexp_extract(text, TNM_RE, i))
-    t = F.when(g(2) != "", F.concat(g(1), F.lit("T"), g(2), g(3)))
-    n = F.when(g(4) != "", F.concat(g(1), F.lit("N"), g(4), g(5)))
-    m = F.when(g(6) != "", F.concat(g(1), F.lit("M"), g(6)))
-    return F.array_sort(F.array_compact(F.array(t, n, m)))
+
+    def parts(raw: Column) -> Column:
+        """Tokens of one cluster, read from the cluster alone."""
+        g = lambda i: F.lower(F.regexp_extract(raw, TNM_RE, i))
+        t = F.when(g(2) != "", F.concat(g(1), F.lit("T"), g(2), g(3)))
+        n = F.when(g(4) != "", F.concat(g(1), F.lit("N"), g(4), g(5)))
+        m = F.when(g(6) != "", F.concat(g(1), F.lit("M"), g(6)))
+        return F.array_sort(F.array_compact(F.array(t, n, m)))
+
+    return let(F.regexp_extract(text, TNM_RE, 0), parts)
 
 
 def grade_extract(text: Column) -> Column:
@@ -438,28 +445,30 @@ def frame_build(chunks: DataFrame, doc: str, order: str, text: str) -> DataFrame
     """
     t = F.col(text)
     dose = F.when(t.rlike(r"(?i)\d\s*Gy\s*in\s*\d+"), F.concat_ws(" ", F.regexp_extract(t, DOSE_RE, 1), F.lit("Gy in"), F.regexp_extract(t, DOSE_RE, 2), F.lit("fx")))
-    outcome = F.array_compact(F.array(*[
-        F.when(F.regexp_extract(t, p, 1) != "", F.struct(F.lit(n).alias("key"), F.element_at(F.regexp_extract_all(t, F.lit(p), F.lit(1)), -1).alias("value")))
-        for n, p in OUTCOMES
-    ]))
+    last = lambda p: F.try_element_at(F.regexp_extract_all(t, F.lit(p), F.lit(1)), F.lit(-1))
+    tnm = let(F.array_join(tnm_extract(t), ""), lambda x: F.when(x != "", x))
+    low = F.lower(t)
     read = chunks.select(
-        doc, order, "chunk_id",
-        F.get(stage_extract(t), F.lit(0)).alias("stage"), F.nullif(F.array_join(tnm_extract(t), ""), F.lit("")).alias("tnm"), dose.alias("dose"),
-        outcome.alias("outcome"), F.when(F.lower(t).contains("chemotherapy"), "chemotherapy").when(F.lower(t).contains("surgery"), "surgery").alias("modality"),
+        doc, order, "chunk_id", F.get(stage_extract(t), F.lit(0)).alias("stage"), tnm.alias("tnm"), dose.alias("dose"),
+        *[last(p).alias(f"out_{n}") for n, p in OUTCOMES],
+        F.when(low.contains("chemotherapy"), "chemotherapy").when(low.contains("surgery"), "surgery").alias("modality"),
     )
-    signal = F.col("stage").isNotNull() | F.col("tnm").isNotNull() | F.col("dose").isNotNull() | (F.size("outcome") > 0)
-    live = read.filter(signal)
     pos = F.col(order)
-    heads = live.groupBy(doc).agg(
-        F.min_by("stage", F.when(F.col("stage").isNotNull(), pos)).alias("stage"),
-        F.min_by("tnm", F.when(F.col("tnm").isNotNull(), pos)).alias("tnm"),
-        F.min_by("dose", F.when(F.col("dose").isNotNull(), pos)).alias("dose"),
-        F.count_if(F.col("stage").isNotNull() | F.col("tnm").isNotNull()).alias("profile_n"),
-        F.count_if(F.col("dose").isNotNull()).alias("treatment_n"),
-        F.count_if(F.size("outcome") > 0).alias("outcome_n"),
-        F.array_sort(F.collect_set("modality")).alias("modalities"),
-        F.array_sort(F.collect_set("chunk_id")).alias("evidence_ids"),
+    profile = F.col("stage").isNotNull() | F.col("tnm").isNotNull()
+    outcome = F.coalesce(*[F.col(f"out_{n}") for n, _ in OUTCOMES]).isNotNull()
+    signal = profile | F.col("dose").isNotNull() | outcome
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), pos)).alias(c)
+    heads = read.groupBy(doc).agg(
+        first("stage"), first("tnm"), first("dose"),
+        *[F.max_by(f"out_{n}", F.when(F.col(f"out_{n}").isNotNull(), pos)).alias(f"out_{n}") for n, _ in OUTCOMES],
+        F.count_if(profile).alias("profile_n"), F.count_if(F.col("dose").isNotNull()).alias("treatment_n"), F.count_if(outcome).alias("outcome_n"),
+        F.array_sort(F.collect_set(F.when(signal, F.col("modality")))).alias("modalities"),
+        F.array_sort(F.collect_set(F.when(signal, F.col("chunk_id")))).alias("evidence_ids"),
+    )
+    entries = F.array_compact(
+        F.array(*[F.when(F.col(f"out_{n}").isNotNull(), F.struct(F.lit(n).alias("key"), F.col(f"out_{n}").alias("value"))) for n, _ in OUTCOMES])
+    )
+    framed = heads.filter(F.size("evidence_ids") > 0).withColumn("outcomes", F.map_from_entries(entries))
+    return framed.withColumn("confidence", signal_confidence(F.col("profile_n"), F.col("treatment_n"), F.col("outcome_n"))).drop(
+        *[f"out_{n}" for n, _ in OUTCOMES]
     )
-    last = live.select(doc, order, F.explode("outcome").alias("o")).groupBy(doc, "o.key").agg(F.max_by("o.value", order).alias("value"))
-    outcomes = last.groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("outcomes"))
-    return heads.join(outcomes, doc, "left").withColumn("confidence", signal_confidence(F.col("profile_n"), F.col("treatment_n"), F.col("outcome_n")))
