@@ -22,6 +22,9 @@ from cohortloom.session import broadcast_checked
 TOKEN = r"[a-z0-9][a-z0-9\-/\.≤≥%]+"
 RRF_K = 60
 POOL = 100
+# Size of a block of query vectors sent to the tasks, and of a score matrix inside one.
+BLOCK_BYTES = 32 * 1024 * 1024
+SCORE_CELLS = 4_000_000
 # Patterns of weighty evidence and the factor each one multiplies in.
 LANDMARKS: list[tuple[str, str, float]] = [
     ("cooperative_group", r"(?i)\b(RTOG|NRG|NSABP|ACOSOG|EORTC|PORTEC|SWOG|ECOG|GOG|CALGB|NCIC|MRC|TROG|ALLIANCE|NCCTG|COG|INT|INTERGROUP|BC)\s*-?\s*\d+", 1.25),
@@ -102,8 +105,9 @@ def knn_cosine(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vecto
     the corpus with the block and keeps ``k`` rows per query, so only k x queries rows per task
     are shuffled. More queries mean more blocks, never a dropped query.
     """
-    total = queries.count()
-    parts = max(1, -(-total // block))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query_vector")).alias("dims")).first()
+    block = max(1, min(block, BLOCK_BYTES // (8 * max(1, size["dims"] or 1))))
+    parts = max(1, -(-size["n"] // block))
     numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
     out = None
     for part in range(parts):
@@ -120,14 +124,17 @@ def knn_cosine(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vecto
             for frame in frames:
                 if frame.empty:
                     continue
-                m = np.array(frame[vector].tolist(), dtype=np.float64)
-                size = np.linalg.norm(m, axis=1, keepdims=True)
-                m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-                ids, sims = frame[id_col].to_numpy(), q @ m.T
-                for i in range(len(q_ids)):
-                    all_ids, all_scores = np.concatenate([kept_ids[i], ids]), np.concatenate([kept_scores[i], sims[i]])
-                    best = _best_rows(all_ids, all_scores, k)
-                    kept_ids[i], kept_scores[i] = all_ids[best], all_scores[best]
+                step = max(k, SCORE_CELLS // len(q_ids))
+                for at in range(0, len(frame), step):
+                    part = frame.iloc[at : at + step]
+                    m = np.array(part[vector].tolist(), dtype=np.float64)
+                    length = np.linalg.norm(m, axis=1, keepdims=True)
+                    m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+                    ids, sims = part[id_col].to_numpy(), q @ m.T
+                    for i in range(len(q_ids)):
+                        all_ids, all_scores = np.concatenate([kept_ids[i], ids]), np.concatenate([kept_scores[i], sims[i]])
+                        best = _best_rows(all_ids, all_scores, k)
+                        kept_ids[i], kept_scores[i] = all_ids[best], all_scores[best]
             for i, query in enumerate(q_ids):
                 yield pd.DataFrame({"query_id": query, id_col: kept_ids[i], "score_dense": kept_scores[i]})
 
