@@ -371,7 +371,7 @@ def calibrate(raw: Column) -> Column:
 
 def calibrated_scores(df: DataFrame, score: str) -> DataFrame:
     """F32: calibrated score, spread by rank position where a query's scores lie within 3 points."""
-    span = broadcast_checked(df.groupBy("query_id").agg(F.max(score).alias("_hi"), F.min(score).alias("_lo"), F.count(F.lit(1)).alias("_n")))
+    span = df.groupBy("query_id").agg(F.max(score).alias("_hi"), F.min(score).alias("_lo"), F.count(F.lit(1)).alias("_n"))
     base = calibrate(F.col(score))
     width = F.col("_hi") - F.col("_lo")
     spread = F.greatest(F.lit(0.10), base - (1 - (F.col(score) - F.col("_lo")) / width) * 0.15)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.binding import let
 from cohortloom.functions.parse import round_half_up
-from cohortloom.session import broadcast_checked
+from cohortloom.session import is_small
 
 # Token pattern, BM25 and fusion constants.
 TOKEN = r"[a-z0-9][a-z0-9\-/\.≤≥%]+"
@@ -153,9 +153,11 @@ def bm25(cands: DataFrame, queries: DataFrame, id_col: str, text: str, pattern:
     A term repeated in the query counts as often as it is written. ``floor`` switches to the
     plain idf with a lower bound.
     """
-    q_terms = broadcast_checked(
-        queries.select("query_id", F.explode(tokens(F.col("query_text"), pattern)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    )
+    words = queries.select("query_id", F.explode(tokens(F.col("query_text"), pattern)).alias("term"))
+    q_terms = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    # The statistics have at most one row per query term, so one check bounds all three sides.
+    small = F.broadcast if is_small(q_terms) else lambda side: side
+    q_terms = small(q_terms)
     docs = cands.select("query_id", id_col, tokens(F.col(text), pattern).alias("toks")).withColumn("dl", F.size("toks"))
     stats = docs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     tf = docs.select("query_id", id_col, "dl", F.explode("toks").alias("term")).join(q_terms, ["query_id", "term"]).groupBy(
@@ -167,8 +169,8 @@ def bm25(cands: DataFrame, queries: DataFrame, id_col: str, text: str, pattern:
     idf = F.ln(ratio + 1.0) if floor is None else F.greatest(F.lit(floor), F.ln(ratio))
     weight = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1 - b + b * (F.col("dl") / F.col("avgdl"))))
     scored = (
-        tf.join(broadcast_checked(df), ["query_id", "term"])
-        .join(broadcast_checked(stats), "query_id")
+        tf.join(small(df), ["query_id", "term"])
+        .join(small(stats.join(queries.select("query_id").distinct(), "query_id", "left_semi")), "query_id")
         .groupBy("query_id", id_col)
         .agg(F.sum(F.col("qtf") * idf * weight).alias("score_lex"))
     )
@@ -177,7 +179,7 @@ def bm25(cands: DataFrame, queries: DataFrame, id_col: str, text: str, pattern:
 
 def per_query_max_norm(df: DataFrame, score: str, out: str) -> DataFrame:
     """Score over the best score of the query; the maxima are an aggregate joined back."""
-    best = broadcast_checked(df.groupBy("query_id").agg(F.max(score).alias("_max")))
+    best = df.groupBy("query_id").agg(F.max(score).alias("_max"))
     return df.join(best, "query_id").withColumn(out, F.when(F.col("_max") > 0, F.col(score) / F.col("_max")).otherwise(0.0)).drop("_max")
 
 

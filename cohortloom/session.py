@@ -23,6 +23,8 @@ def build_session(app: str = "cohortloom", cores: str | None = None) -> SparkSes
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Larger methods are never JIT-compiled by the JVM: let Spark split such stages instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -30,14 +32,18 @@ def build_session(app: str = "cohortloom", cores: str | None = None) -> SparkSes
     )
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
+    """Whether ``df`` is proven to hold at most ``limit`` rows."""
+    return df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= limit
+
+
 def broadcast_checked(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast ``df`` only when it is proven to hold at most ``limit`` rows.
 
     Larger sides come back without a hint, so the join is shuffled and AQE splits
     skewed partitions.
     """
-    small = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= limit
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
