@@ -25,8 +25,8 @@ def metric_rollup(events: DataFrame, keys: Sequence[str], amount: Column) -> Dat
 
 def lane_counts(found: DataFrame) -> DataFrame:
     """Documents per combination of lanes that found them."""
-    docs = found.groupBy("query_id", "doc_id").agg(F.bool_or(F.col("lane") == "pto").alias("pto"), F.bool_or(F.col("lane") == "postgres").alias("structured"))
-    lane = F.when(F.col("pto") & F.col("structured"), "both").when(F.col("pto"), "pto").when(F.col("structured"), "structured").otherwise("vector")
+    docs = found.groupBy("query_id", "doc_id").agg(F.bool_or(F.col("lane") == "frame").alias("frame"), F.bool_or(F.col("lane") == "structured").alias("structured"))
+    lane = F.when(F.col("frame") & F.col("structured"), "both").when(F.col("frame"), "frame").when(F.col("structured"), "structured").otherwise("vector")
     return docs.groupBy(lane.alias("lane")).agg(F.count(F.lit(1)).alias("docs"))
 
 

@@ -34,7 +34,7 @@ CONTENT_WORDS = ["patient", "treatment", "study", "trial", "survival", "dose", "
                  "outcome", "result", "method"]
 
 # Lowest relevance a document needs, by the source that found it, and trust in the source.
-SOURCE_GATES = [("pto", 0.28, 2), ("both", 0.28, 3), ("postgres", 0.35, 1), ("qdrant", 0.50, 0)]
+SOURCE_GATES = [("frame", 0.28, 2), ("both", 0.28, 3), ("structured", 0.35, 1), ("vector", 0.50, 0)]
 OTHER_GATE = 0.45
 
 # Disease trajectories before and after a first line of treatment.

@@ -375,7 +375,7 @@ def lane_merge(pool: DataFrame, max_studies: int = 10, reserved: int = 2) -> Dat
     Works on pools (at most ``POOL`` rows per query): the lanes of a query lie in one array, and
     a fold keeps the first row of every key.
     """
-    lane_rank = F.when(F.col("lane") == "pto", 0).when(F.col("lane") == "both", 1).when(F.col("lane") == "postgres", 2).otherwise(3)
+    lane_rank = F.when(F.col("lane") == "frame", 0).when(F.col("lane") == "both", 1).when(F.col("lane") == "structured", 2).otherwise(3)
     w = Window.partitionBy("query_id", "lane").orderBy("pos")
     picked = pool.withColumn("_r", F.row_number().over(w)).withColumn("_l", lane_rank).filter((F.col("_l") == 3) | (F.col("_r") <= reserved))
     keys = F.array_compact(F.array(
@@ -396,7 +396,7 @@ def lane_merge(pool: DataFrame, max_studies: int = 10, reserved: int = 2) -> Dat
     merged = items.select("query_id", F.aggregate("items", start, step, lambda a: a["kept"]).alias("kept"))
     return merged.select("query_id", F.posexplode(F.slice("kept", 1, max_studies)).alias("rank", "s")).select(
         "query_id", (F.col("rank") + 1).alias("rank"), F.col("s.doc_id").alias("doc_id"),
-        F.element_at(F.array(*map(F.lit, ["pto", "both", "postgres", "qdrant"])), F.col("s.l") + 1).alias("lane"),
+        F.element_at(F.array(*map(F.lit, ["frame", "both", "structured", "vector"])), F.col("s.l") + 1).alias("lane"),
     )
 
 

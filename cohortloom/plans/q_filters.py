@@ -237,15 +237,15 @@ def _ci_list(b):
 
 @query(
     "source_gate",
-    """WITH f as (select query_id, doc_id, case flag when 'A' then 'pto' when 'N' then 'postgres' else case when line_status = 'F' then 'qdrant' else 'other' end end as lane, score_dense as score from hits),
-    r as (select *, case lane when 'both' then 3 when 'pto' then 2 when 'postgres' then 1 when 'qdrant' then 0 else -1 end as trust from f),
+    """WITH f as (select query_id, doc_id, case flag when 'A' then 'frame' when 'N' then 'structured' else case when line_status = 'F' then 'vector' else 'other' end end as lane, score_dense as score from hits),
+    r as (select *, case lane when 'both' then 3 when 'frame' then 2 when 'structured' then 1 when 'vector' then 0 else -1 end as trust from f),
     g as (select query_id, doc_id, arg_max(lane, trust) as lane, max(score) as score from r group by 1, 2),
-    t as (select *, cast(case lane when 'pto' then 0.28 when 'both' then 0.28 when 'postgres' then 0.35 when 'qdrant' then 0.5 else 0.45 end as double) as threshold from g)
+    t as (select *, cast(case lane when 'frame' then 0.28 when 'both' then 0.28 when 'structured' then 0.35 when 'vector' then 0.5 else 0.45 end as double) as threshold from g)
     select * from t where score >= threshold""",
     "hits",
 )
 def _source_gate(b):
-    lane = F.when(F.col("flag") == "A", "pto").when(F.col("flag") == "N", "postgres").when(F.col("line_status") == "F", "qdrant").otherwise("other")
+    lane = F.when(F.col("flag") == "A", "frame").when(F.col("flag") == "N", "structured").when(F.col("line_status") == "F", "vector").otherwise("other")
     return filters.source_gate(b.hits.select("query_id", "doc_id", lane.alias("lane"), F.col("score_dense").alias("score")))
 
 

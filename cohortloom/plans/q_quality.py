@@ -277,16 +277,16 @@ def _metrics(b):
     return a.metric_rollup(b.events.withColumn("large", amount >= 50), ["user_id", "event_type", "large"], amount)
 
 
-_LANE_SQL = "case flag when 'A' then 'pto' when 'N' then 'postgres' else 'qdrant' end"
+_LANE_SQL = "case flag when 'A' then 'frame' when 'N' then 'structured' else 'vector' end"
 
 
 @query(
     "lane_counts",
-    f"WITH d as (select part_id, query_id, bool_or({_LANE_SQL} = 'pto') as p, bool_or({_LANE_SQL} = 'postgres') as s from hits group by 1, 2) select case when p and s then 'both' when p then 'pto' when s then 'structured' else 'vector' end as lane, count(*) as docs from d group by 1",
+    f"WITH d as (select part_id, query_id, bool_or({_LANE_SQL} = 'frame') as p, bool_or({_LANE_SQL} = 'structured') as s from hits group by 1, 2) select case when p and s then 'both' when p then 'frame' when s then 'structured' else 'vector' end as lane, count(*) as docs from d group by 1",
     "hits",
 )
 def _lane_counts(b):
-    lane = F.when(F.col("flag") == "A", "pto").when(F.col("flag") == "N", "postgres").otherwise("qdrant")
+    lane = F.when(F.col("flag") == "A", "frame").when(F.col("flag") == "N", "structured").otherwise("vector")
     return a.lane_counts(b.hits.select("query_id", F.col("part_id").alias("doc_id"), lane.alias("lane")))
 
 

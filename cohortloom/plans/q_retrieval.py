@@ -322,8 +322,8 @@ def _best(b):
     return r.best_per_doc(_pool(b), "score_lex", 10)
 
 
-LANES_SQL = f"""{POOL_SQL}, lp as (select query_id, doc_id, pos, case flag when 'A' then 'pto' when 'N' then case when line_status = 'F' then 'both' else 'postgres' end else 'qdrant' end as lane, 'Trial ' || cast(floor(amount / 8000) as bigint) as title, cast(extract(year from shipped_at) as bigint) as year, case when part_id < 200 then 'nct' || part_id end as trial_no from pool),
-    pk as (select *, case lane when 'pto' then 0 when 'both' then 1 when 'postgres' then 2 else 3 end as l, row_number() over (partition by query_id, lane order by pos) as r from lp),
+LANES_SQL = f"""{POOL_SQL}, lp as (select query_id, doc_id, pos, case flag when 'A' then 'frame' when 'N' then case when line_status = 'F' then 'both' else 'structured' end else 'vector' end as lane, 'Trial ' || cast(floor(amount / 8000) as bigint) as title, cast(extract(year from shipped_at) as bigint) as year, case when part_id < 200 then 'nct' || part_id end as trial_no from pool),
+    pk as (select *, case lane when 'frame' then 0 when 'both' then 1 when 'structured' then 2 else 3 end as l, row_number() over (partition by query_id, lane order by pos) as r from lp),
     it as (select query_id, l, doc_id, row_number() over (partition by query_id order by l, pos) as i, list_filter(['d|' || doc_id, 'f|' || substr(lower(trim(title)), 1, 80) || '|' || coalesce(cast(year as varchar), '0'), 'n|' || upper(trial_no)], lambda x: x is not null) as keys from pk where l = 3 or r <= 2)"""
 
 
@@ -331,11 +331,11 @@ LANES_SQL = f"""{POOL_SQL}, lp as (select query_id, doc_id, pos, case flag when
     "lane_merge",
     f"""WITH RECURSIVE {LANES_SQL}, f as (select query_id, i, keys as seen, true as kept from it where i = 1 union all
       select it.query_id, it.i, case when list_has_any(f.seen, it.keys) then f.seen else f.seen || it.keys end, not list_has_any(f.seen, it.keys) from f join it on it.query_id = f.query_id and it.i = f.i + 1)
-    select query_id, row_number() over (partition by query_id order by i) as rank, doc_id, ['pto', 'both', 'postgres', 'qdrant'][l + 1] as lane from it join f using (query_id, i) where kept qualify rank <= 10""",
+    select query_id, row_number() over (partition by query_id order by i) as rank, doc_id, ['frame', 'both', 'structured', 'vector'][l + 1] as lane from it join f using (query_id, i) where kept qualify rank <= 10""",
     "hits",
 )
 def _lane_merge(b):
-    lane = F.when(F.col("flag") == "A", "pto").when(F.col("flag") == "R", "qdrant").otherwise(F.when(F.col("line_status") == "F", "both").otherwise("postgres"))
+    lane = F.when(F.col("flag") == "A", "frame").when(F.col("flag") == "R", "vector").otherwise(F.when(F.col("line_status") == "F", "both").otherwise("structured"))
     rows = _pool(b).select(
         "query_id", "doc_id", "pos", lane.alias("lane"), F.concat(F.lit("Trial "), F.floor(F.col("amount") / 8000).cast("string")).alias("title"),
         F.year("shipped_at").alias("year"), F.when(F.col("part_id") < 200, F.concat(F.lit("nct"), F.col("part_id").cast("string"))).alias("trial_no"),
