@@ -131,7 +131,7 @@ def _table_map(b):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("m")["Qty"].alias("qty"), F.col("m")["Price"].alias("price"), F.size("m").alias("columns_n"))
 
 
-_ROLLUP_SQL = "r as (select distinct source, unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) as term from documents), g as (select source, list_sort(list(term)) as terms from r group by 1)"
+_ROLLUP_SQL = "r as (select distinct source, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]{10,}'), lambda t: lower(t))) as term from documents), g as (select source, list_sort(list(term)) as terms from r group by 1)"
 
 
 def _rollup(b):
@@ -139,17 +139,14 @@ def _rollup(b):
     return chunking.term_rollup(b.documents.select("source", words.alias("words")), "source", "words")
 
 
-_ROLLUP2_SQL = _ROLLUP_SQL.replace("regexp_extract_all(lower(text), '[a-z]{10,}')", "list_transform(regexp_extract_all(text, '[A-Za-z]{10,}'), lambda t: lower(t))")
-
-
-@query("term_rollup", f"WITH {_ROLLUP2_SQL} select source, len(terms) as n_terms, sha256(array_to_string(terms, ' ')) as terms_hash from g")
+@query("term_rollup", f"WITH {_ROLLUP_SQL} select source, len(terms) as n_terms, sha256(array_to_string(terms, ' ')) as terms_hash from g")
 def _term_rollup(b):
     return _rollup(b).select("source", F.size("terms").alias("n_terms"), F.sha2(F.array_join("terms", " "), 256).alias("terms_hash"))
 
 
 @query(
     "rollup_stats",
-    f"WITH {_ROLLUP2_SQL}, s as (select distinct source from documents), j as (select coalesce(len(terms), 0) as n from s left join g using (source)) select count(*) as total, count_if(n > 0) as with_terms, avg(n) filter (n > 0) as avg_terms, max(n) as max_terms from j",
+    f"WITH {_ROLLUP_SQL}, s as (select distinct source from documents), j as (select coalesce(len(terms), 0) as n from s left join g using (source)) select count(*) as total, count_if(n > 0) as with_terms, avg(n) filter (n > 0) as avg_terms, max(n) as max_terms from j",
 )
 def _rollup_stats(b):
     return chunking.rollup_stats(b.documents.select("source").distinct().join(_rollup(b), "source", "left"), "terms")

@@ -127,7 +127,6 @@ def _governance(b):
     return filters.governance_filter(cands, b.sources, "patient", "staging")
 
 
-_SECTION = "coalesce(nullif(regexp_extract(text, '^([^\\n]*)\\n', 1), ''), '')"
 
 
 @query(
