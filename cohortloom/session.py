@@ -28,6 +28,7 @@ def build_session(app: str = "cohortloom", cores: str | None = None) -> SparkSes
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
 
@@ -52,12 +53,16 @@ def rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; only where none is named make one (tests)."""
+    """The shared folder for checkpoints and intermediate tables.
+
+    The cluster names it in ``spark.checkpoint.dir``. Where it is unset (local tests) a folder of the
+    warehouse is used, which driver and executors share as well; never a machine-local temp folder.
+    """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    target = configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    target = configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(target)
     return target
