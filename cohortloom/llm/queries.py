@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm import contamination, html_text, jaccard, language, lattice, lines, quality_rules, secret_scan, substrings, urls
 from cohortloom.llm.base import table
+from cohortloom.llm.oracles import ORACLES
 
+__all__ = ["ORACLES", "QUERIES"]
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -56,5 +58,3 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_html_extraction, op2_jaccard_join, op3_benchmark_decontamination, op4_line_dedup, op5_substring_dedup, op6_url_filters, op7_language_id, op8_secret_scans, op9_quality_rules, op10_sentencepiece,
 )}
-
-ORACLES: dict[str, str] = {}
