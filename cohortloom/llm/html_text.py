@@ -185,14 +185,14 @@ LABELLED = (
 + <p>By the evening the wind had turned and the snow on the lower fields was gone, though drifts stood at the walls for days to come.</p>
 - <a href=/p>Print</a>
 - <div class="related"><a href=/r>Roads closed again</a></div>
-- Top""",
+- <a href=#>Top</a>""",
     """- <div class="sidebar">Weather: mild and dry, with some cloud over the coast in the afternoon and light winds from the west.</div>
 - <ul><li><a href=/l>Links to friends of this page</a></li>
 - <li><a href=/m>More links</a></li></ul>
 + <div><p>The printing house moved to the square in the autumn of that year, and there it stayed until the last press was sold for scrap.</p>
 + <p>Of its books few are left, and those that are stand in three libraries, one of which has never let a reader see them at all.</p></div>
 - <p class="advert">Old books bought and sold, best prices paid in the whole of the county, call at the shop or write to us.</p>
-- <div>Imprint</div>""",
+- <div><a href=/i>Imprint</a></div>""",
     """+ <article>One line alone.
 - <div class="share"><a href=/t>Tell a friend</a></div>
 + <p><a href=/source>The source of this story, in full, on the pages of the archive</a></p>
@@ -213,6 +213,8 @@ LABELLED = (
 + <div><h2>Clay</h2>
 + <p>Clay is dug in autumn and left in heaps for the frost to break, and in spring it is cut and trodden until it is of one kind.</p>
 + <p>Then it is moulded by hand, and the moulded bricks are dried under straw for some weeks before they are set in the kiln.</p></div>""",
+    """+ <div><p>It was late.</p>
++ <p>The last of the boats had come in, the nets were hung on the wall of the old customs house, and no one was left on the quay.</p></div>""",
     """+ <p>Wood burns.</p>
 + <p>Stone does not, and so a house of stone outlives the people who build it, and theirs, and often the name of the place as well.</p>
 + <p>Straw burns too.</p>""",

@@ -177,7 +177,7 @@ class Lattices:
         node = self.first[unit] + self.sizes[unit]
         out_live, out_edge, out_step, step = [], [], [], 0
         while len(live):
-            draw = (mix(key[live] + np.uint64(step) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            draw = (mix(key[live] + np.uint64(step * 0xD1B54A32D192ED03 % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             edge = np.searchsorted(self.edge_cum, node + draw, "right")
             # Rounding can carry a draw past the node's last edge.
             edge = np.minimum(edge, np.searchsorted(self.stop, node, "right") - 1)
