@@ -99,16 +99,20 @@ class Words:
         first = np.flatnonzero(self.text[:n] == self.text[length - 1 :])
         return first, span_hashes(self.hash, first, first + length, _BASES[1])
 
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hash of the words first to last, the last one excluded."""
+        return span_hashes(self.hash, first, last, _BASES[1])
+
     def whole(self) -> np.ndarray:
         """Hash of each text's whole word sequence."""
         return span_hashes(self.hash, self.first, self.first + self.count, _BASES[1])
 
 
-def pieces(frames: Iterator[pd.DataFrame], column: str = "text") -> Iterator[pd.DataFrame]:
-    """Frames cut so that each holds about PIECE_BYTES of ``column`` (one row at least)."""
+def pieces(frames: Iterator[pd.DataFrame], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pd.DataFrame]:
+    """Frames cut so that each holds about ``limit`` characters of ``column`` (one row at least)."""
     for frame in frames:
         size = frame[column].map(lambda t: len(t) if t is not None else 0).to_numpy().cumsum()
-        block = size // PIECE_BYTES
+        block = size // limit
         for _, part in frame.groupby(block, sort=False):
             yield part.reset_index(drop=True)
 

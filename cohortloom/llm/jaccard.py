@@ -147,10 +147,10 @@ def surviving_pairs(group: np.ndarray, side: np.ndarray, cross: np.ndarray, sign
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
 
-def verified(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+def verified(i: np.ndarray, j: np.ndarray, sets: dict[int, np.ndarray]) -> np.ndarray:
     """Whether the Jaccard similarity of sets i and j reaches THRESHOLD, by bit rows over the shared shingles."""
     used = np.unique(np.concatenate([i, j]))
-    place = np.zeros(len(sets), np.int64)
+    place = np.zeros(int(used.max()) + 1, np.int64)
     place[used] = np.arange(len(used))
     sizes = np.array([len(sets[k]) for k in used], np.int64)
     owner = np.repeat(np.arange(len(used)), sizes)
@@ -218,13 +218,21 @@ def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": ids[tied], "b": ids[label[tied]]})
 
 
+def _sets(frame: pd.DataFrame, used: np.ndarray) -> dict[int, np.ndarray]:
+    """Shingle sets of the rows in use, made from a bounded stretch of text at a time."""
+    sets: dict[int, np.ndarray] = {}
+    for part in pieces(iter([frame.iloc[used][["text"]].assign(row=used)])):
+        text, value = shingles(Words(_folded(part["text"].tolist())))
+        cuts = np.searchsorted(text, np.arange(len(part) + 1))
+        sets |= {row: np.unique(value[a:b]) for row, a, b in zip(part["row"].tolist(), cuts, cuts[1:], strict=False)}
+    return sets
+
+
 def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each text of a pair of blocks: linked documents (copies counted), and an edge to its class."""
     for frame in _whole_groups(frames):
         i, j = _pairs_of(frame)
-        text, value = shingles(Words(_folded(frame["text"].tolist())))
-        cuts = np.searchsorted(text, np.arange(len(frame) + 1))
-        sets = [np.unique(value[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        sets = _sets(frame, np.unique(np.concatenate([i, j])))
         good = np.zeros(len(i), bool)
         group = frame["group"].to_numpy()
         for g in np.unique(group[i]):

@@ -35,6 +35,8 @@ MARK = "▁"
 # Weight of a piece of merge rank r (the model's scores are -r): (1 + r) ** -SHARPNESS. 0 makes all
 # segmentations equal; large values approach the segmentation into the most frequent pieces.
 SHARPNESS = 1.0
+# Characters whose lattices are filtered together; edges take some 400 bytes a character of new units.
+BATCH_CHARS = 300_000
 # A byte piece stands for a character that has none; its weight does not matter, as no path avoids it.
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
@@ -222,6 +224,7 @@ def encode_batch(texts: list[str | None], keys: np.ndarray, m: Model) -> list[np
     if len(bare):
         ids, per_text = _with_bytes(lattices, ids, edge, bare, text_of, texts, m)
     stops = np.cumsum(per_text)
+    ids = ids.astype(np.int32)
     return [None if t is None else ids[stop - n : stop] for t, stop, n in zip(texts, stops, per_text, strict=True)]
 
 
@@ -266,7 +269,7 @@ def encode(docs: DataFrame, key: str, text: str = "text", path: str = MODEL) ->
         m = model(path)
         for keys, texts in frames:
             parts = []
-            for part in pieces(iter([pd.DataFrame({"key": keys, "text": texts})])):
+            for part in pieces(iter([pd.DataFrame({"key": keys, "text": texts})]), limit=BATCH_CHARS):
                 own = part["text"].tolist()
                 ids = encode_batch(own, mix(part["key"].to_numpy(np.int64).view(np.uint64)), m)
                 same = [x is None if t is None else decode_ids(x.tolist(), m) == t for t, x in zip(own, ids, strict=True)]

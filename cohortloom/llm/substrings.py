@@ -9,9 +9,12 @@ is told by anchors, so that no automaton of the whole corpus has to be broadcast
    share an anchor; such a run of windows, with all its words, is a passage.
 2. Anchors are counted over the whole corpus (with pre-aggregation). Those in more than one document enter
    a bit table of fixed size, which is broadcast; it lets all of them through, and few others.
-3. Passages whose anchor passes are written out, equal ones are folded into one (least document first),
-   and dealt out by anchor. Sorted by anchor and document they stream through one automaton per anchor.
-4. Spans return to the documents by row key.
+3. Passages whose anchor passes are written out as hashes and places. Equal ones are folded into one,
+   whose least document is their head; in every later document they go whole.
+4. Only heads of anchors with different passages need their words: a second bit table picks them in
+   another scan. Dealt out by anchor, sorted by anchor and document, they stream through one automaton
+   per anchor.
+5. Spans return to the documents by row key.
 
 Defined cases: a null or empty text has no words. Rows with a null doc_id are never reduced and reduce no
 other. Documents with the same doc_id do not reduce each other, so repeated rows keep what the first of
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm.automaton import SuffixAutomaton
-from cohortloom.llm.base import Words, pieces, written
+from cohortloom.llm.base import Words, mix, pieces, written
 
 WINDOW = 50
 ANCHOR = 14
@@ -79,48 +82,66 @@ def repeated_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
         for part in pieces(frames):
             words = Words(part["text"].tolist())
             key, start, _ = passages(words, window, anchor)
-            found = pd.DataFrame({"anchor": key.view(np.int64), "doc_id": part["doc_id"].to_numpy(np.int64)[words.text[start]]})
+            found = pd.DataFrame({"key": key.view(np.int64), "doc_id": part["doc_id"].to_numpy(np.int64)[words.text[start]]})
             yield found.drop_duplicates()
 
-    rows = _rows(docs).where("doc_id is not null").mapInPandas(run, "anchor long, doc_id long")
-    return rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    rows = _rows(docs).where("doc_id is not null").mapInPandas(run, "key long, doc_id long")
+    return rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
 
 
-def bit_table(anchors: DataFrame) -> np.ndarray:
-    """Words of 64 bits, one bit an anchor: at most 2 ** (TABLE_BITS - 6) rows come to the driver."""
-    place = F.shiftrightunsigned(F.col("anchor"), 64 - TABLE_BITS)
-    bits = anchors.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - TABLE_BITS}) & 63 as int))")).alias("bits"))
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """Bits of the column ``key``, 64 a word: at most 2 ** (TABLE_BITS - 6) rows come to the driver."""
+    place = F.shiftrightunsigned(F.col("key"), 64 - TABLE_BITS)
+    bits = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - TABLE_BITS}) & 63 as int))")).alias("bits"))
     table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
     frame = bits.toPandas()
     table[frame["word"].to_numpy(np.int64)] = frame["bits"].to_numpy(np.int64).view(np.uint64)
     return table
 
 
-def candidate_passages(docs: DataFrame, table, window: int, anchor: int) -> DataFrame:
-    """Passages whose anchor is in the table: their words as text, and where in which document they start."""
+def in_table(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    place = key >> np.uint64(64 - TABLE_BITS)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def head_key(anchor: np.ndarray, body: np.ndarray, row_key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64-bit key of one passage at its place."""
+    return mix(mix(anchor ^ mix(body)) ^ mix(row_key + start.astype(np.uint64)))
+
+
+def candidate_passages(docs: DataFrame, anchors, heads, window: int, anchor: int) -> DataFrame:
+    """Passages whose anchor is in the table ``anchors``: hashes, and where in which document they start.
+
+    With a table ``heads`` only those in it, with their words.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = table.value
         for part in pieces(frames):
             words = Words(part["text"].tolist())
             key, low, high = passages(words, window, anchor)
-            place = key >> np.uint64(64 - TABLE_BITS)
-            hit = (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+            hit = in_table(anchors.value, key)
             key, low, high = key[hit], low[hit], high[hit]
+            body = words.hashes(low, high + window)
             text = words.text[low]
-            ends = words.end[high + window - 1]
-            body = [b" ".join(words.buffer[a:b].split()) for a, b in zip(words.start[low].tolist(), ends.tolist(), strict=True)]
-            yield pd.DataFrame({
-                "anchor": key.view(np.int64), "words": body, "n_starts": (high - low + 1).astype(np.int32), "doc_id": part["doc_id"].to_numpy(np.int64)[text],
-                "row_key": part["row_key"].to_numpy(np.int64)[text], "start": (low - words.first[text]).astype(np.int32),
-            })
-
-    schema = "anchor long, words binary, n_starts int, doc_id long, row_key long, start int"
+            rows = part["row_key"].to_numpy(np.int64)[text]
+            start = low - words.first[text]
+            place = head_key(key, body, rows.view(np.uint64), start)
+            out = {"anchor": key.view(np.int64), "body": body.view(np.int64), "n_starts": (high - low + 1).astype(np.int32), "doc_id": part["doc_id"].to_numpy(np.int64)[text],
+                   "row_key": rows, "start": start.astype(np.int32), "key": place.view(np.int64)}
+            if heads is None:
+                yield pd.DataFrame(out)
+                continue
+            keep = np.flatnonzero(in_table(heads.value, place))
+            first, last = words.start[low[keep]].tolist(), words.end[high[keep] + window - 1].tolist()
+            text = [b" ".join(words.buffer[a:b].split()) for a, b in zip(first, last, strict=True)]
+            yield pd.DataFrame({"anchor": out["anchor"][keep], "body": out["body"][keep], "first_doc": out["doc_id"][keep], "words": text})
+
+    schema = "anchor long, body long, n_starts int, doc_id long, row_key long, start int, key long" if heads is None else "anchor long, body long, first_doc long, words binary"
     return _rows(docs).where("doc_id is not null").mapInPandas(run, schema)
 
 
 def _match(window: int):
-    """Streams passages sorted by anchor and document; (anchor, body, starts) for those with known windows."""
+    """Streams passages sorted by anchor and document; (anchor, body, doc, starts) for those with known windows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         anchor, waiting, automaton = None, [], None
@@ -145,23 +166,26 @@ def _match(window: int):
                 if automaton is not None:
                     starts = [end - window for end, first in automaton.matching(passage, window) if first < doc]
                     if starts:
-                        out.append((key, body, starts))
+                        out.append((key, body, doc, starts))
                 waiting.append((passage, doc))
-            yield pd.DataFrame(out, columns=["anchor", "body", "starts"])
+            yield pd.DataFrame(out, columns=["anchor", "body", "doc", "starts"])
 
     return run
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(row_key, spans): the word spans of each row that repeat a smaller document; one row a key."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(bit_table(repeated_anchors(docs, window, anchor)))
-    found = written(candidate_passages(docs, table, window, anchor).select("*", F.xxhash64("words").alias("body")))
-    folded = found.groupBy("anchor", "body", "words").agg(F.min("doc_id").alias("first_doc"))
-    streamed = folded.repartition("anchor").sortWithinPartitions("anchor", "first_doc")
-    own = streamed.mapInPandas(_match(window), "anchor long, body long, starts array<int>")
+    share = docs.sparkSession.sparkContext.broadcast
+    anchors = share(bit_table(repeated_anchors(docs, window, anchor)))
+    found = written(candidate_passages(docs, anchors, None, window, anchor))
+    heads = written(found.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "key")).alias("head")).select("anchor", "body", F.col("head.doc_id").alias("first_doc"), F.col("head.key").alias("key")))
+    several = heads.groupBy("anchor").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high").select("anchor")
+    wanted = share(bit_table(heads.join(several, "anchor").select("key")))
+    streamed = candidate_passages(docs, anchors, wanted, window, anchor).repartition("anchor").sortWithinPartitions("anchor", "first_doc")
+    own = streamed.mapInPandas(_match(window), "anchor long, body long, doc long, starts array<int>")
+    # A place that the table lets through though it is no head may be of a later document.
+    first = heads.select("anchor", "body", "first_doc").join(own.withColumnRenamed("doc", "first_doc").dropDuplicates(["anchor", "body", "first_doc"]), ["anchor", "body", "first_doc"], "left")
     # A passage of a later document than the first one with the same words goes whole.
-    first = folded.select("anchor", "body", "first_doc").join(own, ["anchor", "body"], "left")
     places = found.select("anchor", "body", "doc_id", "row_key", "start", "n_starts").join(first, ["anchor", "body"])
     whole = places.where("doc_id > first_doc").select("row_key", F.struct(F.col("start"), (F.col("start") + F.col("n_starts") - 1 + window).alias("end")).alias("span"))
     part = places.where("doc_id = first_doc and starts is not null").select("row_key", "start", F.explode("starts").alias("s"))

@@ -169,12 +169,13 @@ def test_substrings(spark, window, anchor):
 
 def simhash(norm):
     counts = [0] * 63
-    words = norm.split(" ")
-    for w in words:
-        h = xxhash.xxh64(w.encode(), seed=42).intdigest()
+    words = ["", *norm.split(" "), None]
+    for a, b in itertools.pairwise(words):
+        h = xxhash.xxh64(a.encode(), seed=42).intdigest()
+        h = h if b is None else xxhash.xxh64(b.encode(), seed=h).intdigest()
         for k in range(63):
             counts[k] += h >> k & 1
-    return sum(1 << k for k in range(63) if 2 * counts[k] > len(words))
+    return sum(1 << k for k in range(63) if 2 * counts[k] > len(words) - 1)
 
 
 def levenshtein(a, b):
@@ -190,7 +191,7 @@ def test_fuzzy_lines(spark):
     rng = random.Random(8)
     seeds = [text(rng, n) for n in (3, 6, 12, 25, 40, 60)]
     docs = ["\n".join(rng.choice(["", "--", text(rng, 8), edited(rng, s, rng.choice([0, 0, 1, 1, 2])).upper() + rng.choice(["", ".", " !"])]) for s in seeds * 2) for _ in range(30)]
-    norm = [[" ".join(re.findall(r"[0a-z]+", re.sub("[0-9]", "0", x.lower()))) for x in d.split("\n")] for d in docs]
+    norm = [[" ".join(re.findall(r"[0-9a-z]+", x.lower())) for x in d.split("\n")] for d in docs]
     distinct = sorted({x for d in norm for x in d if x})
     blocks = []
     for x in distinct:
@@ -221,6 +222,13 @@ def test_fuzzy_lines(spark):
     assert got == dict(enumerate(want))
 
 
+def test_simhash_of_long_lines(spark):
+    norms = [text(random.Random(n), n, 5000) for n in (1, 2, 499, 500, 501, 1700)]
+    rows = spark.createDataFrame([(i, i, 0, bytes([i]), t) for i, t in enumerate(norms)], "doc_id long, row_key long, pos int, lid binary, norm string")
+    got = {r["doc_id"]: r["simhash"] for r in lines.simhashes(rows).collect()}
+    assert got == {i: simhash(t) for i, t in enumerate(norms)}
+
+
 def test_pieces_of_long_lines(spark, monkeypatch):
     monkeypatch.setattr(lines, "PIECE", 50)
     a = text(random.Random(9), 60)
