@@ -35,6 +35,7 @@ MARK = "▁"
 # Weight of a piece of merge rank r (the model's scores are -r): (1 + r) ** -SHARPNESS. 0 makes all
 # segmentations equal; large values approach the segmentation into the most frequent pieces.
 SHARPNESS = 1.0
+SLOT_BITS = 20
 # Characters whose lattices are filtered together; edges take some 400 bytes a character of new units.
 BATCH_CHARS = 300_000
 # A byte piece stands for a character that has none; its weight does not matter, as no path avoids it.
@@ -67,24 +68,33 @@ class Model:
                 weights[i] = -SHARPNESS * np.log1p(max(0.0, -model.get_score(i)) if model.get_score(i) > -1e8 else n)
         self.weight = weights
         self.longest = max(map(len, self.ids), default=1)
-        # Substrings are looked up by a hash; the model's own pieces are verified to have different ones.
-        self.by_length = {}
-        for length in range(1, self.longest + 1):
-            own = [p for p in self.ids if len(p) == length]
-            if own:
-                keys = _hash(np.array([[ord(c) for c in p] for p in own], np.uint64))
-                order = np.argsort(keys)
-                if len(np.unique(keys)) != len(keys):
-                    raise ValueError("two pieces share a hash")
-                letters = np.array([[ord(c) for c in own[k]] for k in order], np.uint32)
-                self.by_length[length] = (keys[order], np.array([self.ids[own[k]] for k in order]), letters)
-
-
-def _hash(letters: np.ndarray) -> np.ndarray:
-    value = np.zeros(letters.shape[0], np.uint64)
-    for k in range(letters.shape[1]):
-        value = value * np.uint64(0x9E3779B97F4A7C15) + letters[:, k].astype(np.uint64) + np.uint64(1)
-    return mix(value)
+        # Substrings are looked up by a 64-bit hash in a table of two entries a slot; the seed is the first
+        # that leaves no slot with more.
+        own = list(self.ids)
+        ids = np.array([self.ids[p] for p in own], np.int32)
+        for seed in range(1, 1000):
+            key = np.array([_hash(p, seed) for p in own], np.uint64)
+            slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            nth = np.arange(len(order)) - np.maximum.accumulate(np.where(np.diff(slot[order], prepend=-1) != 0, np.arange(len(order)), 0))
+            if len(order) == 0 or (nth.max() < 2 and len(np.unique(key)) == len(key)):
+                break
+        self.seed = seed
+        self.slots = np.full((2, 1 << SLOT_BITS), -1, np.int32)
+        self.slots[nth, slot[order]] = ids[order]
+        self.key = np.zeros(n, np.uint64)
+        self.key[ids] = key
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash(text: str, seed: int) -> np.uint64:
+    """The hash of a piece, as the lattices make it: letter by letter."""
+    value = seed
+    for c in text:
+        value = ((value ^ (value >> 29)) * int(_STEP) + ord(c) + 1) % 2**64
+    return np.uint64(value * int(_STEP) % 2**64)
 
 
 @lru_cache(maxsize=2)
@@ -97,7 +107,7 @@ class Lattices:
     """Filtered lattices of many units: for each node its incoming edges with cumulative probabilities.
 
     Node ``first[u] + k`` is the place after k characters of unit u. Edges are sorted by their end node;
-    ``edge_cum`` is node + cumulative probability, so that one binary search draws an edge.
+    ``edge_cum`` is the cumulative probability within the node, where edges start at ``first_edge``.
     """
 
     def __init__(self, units: list[str], m: Model):
@@ -111,24 +121,24 @@ class Lattices:
         node = np.arange(len(letters)) + owner  # node before this character
         starts, stops, ids = [], [], []
         single = np.zeros(len(letters), bool)
-        for length, (keys, own, forms) in m.by_length.items():
-            at = np.flatnonzero(left >= length)
-            if not len(at):
-                continue
-            value = np.zeros(len(at), np.uint64)
-            for k in range(length):
-                value = value * np.uint64(0x9E3779B97F4A7C15) + letters[at + k].astype(np.uint64) + np.uint64(1)
-            value = mix(value)
-            slot = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
-            hit = np.flatnonzero(keys[slot] == value)
-            for k in range(length):
-                hit = hit[forms[slot[hit], k] == letters[at[hit] + k]]
-            at, got = at[hit], own[slot[hit]]
-            if length == 1:
-                single[at] = True
-            starts.append(node[at])
-            stops.append(node[at] + length)
-            ids.append(got)
+        at, value = np.arange(len(letters)), np.full(len(letters), m.seed, np.uint64)
+        wide = letters.astype(np.uint64) + np.uint64(1)
+        for length in range(1, m.longest + 1):
+            inside = left[at] >= length
+            at, value = at[inside], value[inside]
+            value = (value ^ (value >> np.uint64(29))) * _STEP + wide[at + (length - 1)]
+            key = value * _STEP
+            slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            for table in m.slots:
+                got = table[slot]
+                hit = np.flatnonzero(got >= 0)
+                hit = hit[m.key[got[hit]] == key[hit]]
+                if len(hit):
+                    if length == 1:
+                        single[at[hit]] = True
+                    starts.append(node[at[hit]])
+                    stops.append(node[at[hit]] + length)
+                    ids.append(got[hit])
         # Characters without a piece: one edge, id -1, written as bytes.
         bare = np.flatnonzero(~single)
         starts.append(node[bare])
@@ -137,7 +147,7 @@ class Lattices:
         start, stop, piece = (np.concatenate(x) for x in (starts, stops, ids))
         order = np.argsort(stop, kind="stable")
         self.start, self.stop, self.piece = start[order], stop[order], piece[order]
-        self.letters, self.node_letter = letters, node
+        self.letters = letters
         self._filter(m, len(letters) + len(units))
 
     def _filter(self, m: Model, n_nodes: int) -> None:
@@ -148,8 +158,10 @@ class Lattices:
         place = np.zeros(n_nodes, np.int64)
         place[self.first] = 1
         place = np.arange(n_nodes) - np.maximum.accumulate(np.where(place == 1, np.arange(n_nodes), 0))
-        by_place = np.argsort(place[self.stop], kind="stable")
-        bounds = np.searchsorted(place[self.stop][by_place], np.arange(1, int(place.max(initial=0)) + 2))
+        of_edge = place[self.stop]
+        of_edge = of_edge.astype(np.uint16) if place.max(initial=0) < 1 << 16 else of_edge
+        by_place = np.argsort(of_edge, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(of_edge)[1:])]) if len(of_edge) else np.zeros(1, np.int64)
         edge_value = np.empty(len(self.start))
         for k in range(len(bounds) - 1):
             edges = by_place[bounds[k] : bounds[k + 1]]
@@ -171,7 +183,11 @@ class Lattices:
         cum = np.minimum(running - base, 1.0)
         last = np.concatenate([head[1:], [True]]) if len(head) else head
         cum[last] = 1.0
-        self.edge_cum = self.stop + cum
+        # A node draws its first edge whose cumulative probability exceeds the draw; the last one's is 1.
+        cum[last] = 2.0
+        self.edge_cum = cum
+        self.first_edge = np.zeros(n_nodes, np.int64)
+        self.first_edge[self.stop[head]] = np.flatnonzero(head)
 
     def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A drawn path for each occurrence (unit, key): (occurrence, edge, step), last pieces first."""
@@ -180,9 +196,11 @@ class Lattices:
         out_live, out_edge, out_step, step = [], [], [], 0
         while len(live):
             draw = (mix(key[live] + np.uint64(step * 0xD1B54A32D192ED03 % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(self.edge_cum, node + draw, "right")
-            # Rounding can carry a draw past the node's last edge.
-            edge = np.minimum(edge, np.searchsorted(self.stop, node, "right") - 1)
+            edge = self.first_edge[node]
+            on = np.flatnonzero(self.edge_cum[edge] <= draw)
+            while len(on):
+                edge[on] += 1
+                on = on[self.edge_cum[edge[on]] <= draw[on]]
             out_live.append(live)
             out_edge.append(edge)
             out_step.append(np.full(len(live), step))
@@ -215,8 +233,11 @@ def encode_batch(texts: list[str | None], keys: np.ndarray, m: Model) -> list[np
     within = np.arange(len(unit)) - first[owner]
     key = mix(keys[owner] ^ mix(within.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))) if len(unit) else np.zeros(0, np.uint64)
     occurrence, edge, step = lattices.sample(unit, key)
-    order = np.lexsort((-step, occurrence))
-    occurrence, edge = occurrence[order], edge[order]
+    # Step 0 drew the last piece of an occurrence, step 1 the one before, and so on.
+    spot = np.cumsum(np.bincount(occurrence, minlength=len(unit)))[occurrence] - 1 - step if len(occurrence) else occurrence
+    placed = np.empty_like(edge)
+    placed[spot] = edge
+    occurrence, edge = np.repeat(np.arange(len(unit)), np.bincount(occurrence, minlength=len(unit))), placed
     ids = lattices.piece[edge]
     bare = np.flatnonzero(ids < 0)
     text_of = owner[occurrence] if len(occurrence) else occurrence
