@@ -48,18 +48,18 @@ def case_dedupe(df: DataFrame, key: str, term: str, order: str) -> DataFrame:
     )
 
 
-def first_wins(df: DataFrame, order: str, keys: Sequence[str], scope: Sequence[str] = (), max_rounds: int = 1000) -> DataFrame:
+def first_wins(df: DataFrame, order: str, keys: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
     """H6: greedy de-duplication over several keys, in ``order``, exact for chained keys.
 
     A row is dropped only when it shares a key with an earlier row that was kept. Per round,
     rows that come first among the open rows of all their keys are kept and their sharers
-    dropped; rounds end when no row is open. ``order`` must be unique within ``scope``.
+    dropped. Every round settles at least one row, so the rounds end, after as many as the longest chain. ``order`` must be unique within ``scope``.
     """
     ensure_checkpoint_dir(df.sparkSession)
     scoped = list(scope)
     open_rows = df.checkpoint()
     kept = None
-    for _ in range(max_rounds):
+    while True:
         long = open_rows.select(
             *scoped, order, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in keys])).alias("e")
         ).select(*scoped, order, "e.k", "e.v").filter(F.col("v").isNotNull())
@@ -76,7 +76,6 @@ def first_wins(df: DataFrame, order: str, keys: Sequence[str], scope: Sequence[s
         open_rows = open_rows.join(blocked, [*scoped, order], "left_anti").join(keyless.select(*scoped, order), [*scoped, order], "left_anti").checkpoint()
         if open_rows.isEmpty():
             return kept
-    raise RuntimeError("first_wins did not settle; raise max_rounds")
 
 
 def union_provenance(parts: Sequence[tuple[str, DataFrame]], key: str) -> DataFrame:
@@ -90,12 +89,12 @@ def union_provenance(parts: Sequence[tuple[str, DataFrame]], key: str) -> DataFr
 
 
 def multi_corpus_merge(parts: Sequence[DataFrame]) -> DataFrame:
-    """H3: union of corpora, one row per identity (point, else document place, else text head); first corpus wins."""
+    """H3: union of corpora, one row per identity (point, else document place, else whole text); first corpus wins."""
     identity = F.coalesce(
         F.concat(F.lit("point:"), F.col("point_id").cast("string")),
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string"), F.lit("|"), F.coalesce("section", F.lit("")), F.lit("|"),
                  F.coalesce(F.col("chunk_index").cast("string"), F.lit(""))),
-        F.concat(F.lit("text:"), F.substring("text", 1, 80)),
+        F.concat(F.lit("text:"), F.col("text")),
     )
     rows = None
     for position, df in enumerate(parts):

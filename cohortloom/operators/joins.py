@@ -115,7 +115,7 @@ def canonical_join(df: DataFrame, aliases: DataFrame, term: str) -> DataFrame:
     keyed = df.withColumn("_k", low).withColumn("_k2", F.regexp_replace("_k", r" (cancer|carcinoma|tumors?)$", ""))
     exact = aliases.select(F.col("alias").alias("_k"), F.col("canonical").alias("_c1"))
     stripped = aliases.select(F.col("alias").alias("_k2"), F.col("canonical").alias("_c2"))
-    joined = keyed.join(F.broadcast(exact), "_k", "left").join(F.broadcast(stripped), "_k2", "left")
+    joined = keyed.join(exact, "_k", "left").join(stripped, "_k2", "left")
     return joined.withColumn("canonical", F.coalesce("_c1", "_c2", F.col(term))).select(*df.columns, "canonical")
 
 
@@ -142,9 +142,9 @@ def tiered_lookup(df: DataFrame, table: DataFrame, id_col: str) -> DataFrame:
     def tier(name: Sequence[str], lookup: DataFrame, score: float) -> DataFrame:
         keys = [f"k_{c}" for c in name]
         right = lookup.select(*[F.col(c).alias(f"k_{c}") for c in name], "stage", "ord")
-        return variants(name, keyed).join(F.broadcast(right), keys).select("t", "n", "m", "stage", "ord", F.lit(score).alias("confidence"))
+        return variants(name, keyed).join(right, keys).select("t", "n", "m", "stage", "ord", F.lit(score).alias("confidence"))
 
-    exact = keyed.join(F.broadcast(rows), ["t", "n", "m"]).select("t", "n", "m", "stage", "ord", F.lit(1.0).alias("confidence"))
+    exact = keyed.join(rows, ["t", "n", "m"]).select("t", "n", "m", "stage", "ord", F.lit(1.0).alias("confidence"))
     found = exact.unionByName(tier(["t", "n", "m"], rows, 0.8)).unionByName(tier(["tb", "nb", "mb"], with_base, 0.6))
     best = found.groupBy("t", "n", "m").agg(
         F.max("confidence").alias("confidence"),

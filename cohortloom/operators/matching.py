@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.binding import let
 from cohortloom.operators.retrieval import top_per
-from cohortloom.session import broadcast_checked
 
 # Base weights of the match criteria.
 BASE_WEIGHTS = {
@@ -55,7 +54,7 @@ STATUS_WORDS = {"positive": ["positive", "high", "amplified", "mutant"], "negati
 
 def case_pairs(cases: DataFrame, studies: DataFrame, gate: str = "site") -> DataFrame:
     """Candidate rows: studies of the case's site. Cases without a site have no candidates."""
-    return studies.join(broadcast_checked(cases.filter(F.col(gate).isNotNull())), gate)
+    return studies.join(cases.filter(F.col(gate).isNotNull()), gate)
 
 
 def either_contains(a: Column, b: Column) -> Column:
@@ -91,8 +90,8 @@ def tiered(*tiers: tuple[Column, float], full: float) -> Column:
     return out
 
 
-def sort_by_preference(df: DataFrame, by: str, limit: int) -> DataFrame:
-    """order by a preference; outcomes weigh overall survival 1 and progression-free survival .8."""
+def sort_by_preference(df: DataFrame, by: str) -> DataFrame:
+    """all rows in order of a preference; outcomes weigh overall survival 1 and progression-free survival .8."""
     keys = {
         "relevance": F.col("relevance"),
         "patient_relevance": F.col("relevance"),
@@ -101,7 +100,7 @@ def sort_by_preference(df: DataFrame, by: str, limit: int) -> DataFrame:
         "citations": F.col("citation_count"),
         "outcomes": F.coalesce("os_rate_percent", F.lit(0.0)) + 0.8 * F.coalesce("pfs_rate_percent", F.lit(0.0)),
     }
-    return df.withColumn("sort_key", keys[by].cast("string")).orderBy(keys[by].desc_nulls_last(), F.asc("study_id")).limit(limit)
+    return df.withColumn("sort_key", keys[by].cast("string")).orderBy(keys[by].desc_nulls_last(), F.asc("study_id"))
 
 
 def dynamic_weights(present: DataFrame, user: Mapping[str, float]) -> DataFrame:
@@ -450,7 +449,12 @@ def range_expand(kind: str, value: Column) -> Column:
     lo = F.regexp_extract(value, r"(\d+)", 1).try_cast("int")
     hi = F.coalesce(F.nullif(F.regexp_extract(value, r"\d+\s*[-–]\s*(\d+)", 1), F.lit("")).try_cast("int"), lo)
     if kind == "ecog":
-        values = F.sequence(F.least(lo, hi), F.least(F.greatest(lo, hi), F.least(lo, hi) + 5))
+        low = value.rlike(r"(?i)<|≤|at most|up to|or less")
+        high = value.rlike(r"(?i)>|≥|at least|or more|\+")
+        # The scale runs from 0 to 5; an open range ends where it does.
+        first = F.greatest(F.lit(0), F.when(low, 0).otherwise(F.least(lo, hi)))
+        last = F.least(F.lit(5), F.when(high, 5).otherwise(F.greatest(lo, hi)))
+        values = F.filter(F.sequence(F.lit(0), F.lit(5)), lambda v: (v >= first) & (v <= last))
         return F.flatten(F.transform(values, lambda v: F.array(*[F.concat(F.lit(p), v.cast("string")) for p in ("ECOG ", "PS ", "performance status ")])))
     if kind == "cps":
         cuts = F.filter(F.array(*map(F.lit, CPS_CUTS)), lambda c: c <= lo)

@@ -12,8 +12,6 @@ from cohortloom.functions.parse import round_half_up
 from cohortloom.operators.retrieval import LANDMARKS, top_per
 from cohortloom.operators.tagging import DOSE_RE, HR_RE, RATE_RE, findings
 
-# How many ranked studies of a query are compared with each other.
-COMPARED_STUDIES = 10
 # Tolerances of the number checks, and doses that are common knowledge.
 ABSOLUTE_TOLERANCE = 1.0
 RELATIVE_TOLERANCE = 0.05
@@ -31,22 +29,20 @@ def _pairs(a: Column, b: Column, test) -> Column:
     return F.get(F.filter(grid, lambda p: test(p["a"], p["b"])), F.lit(0))
 
 
-def contradictions(ranked: DataFrame, text: str, k: int = COMPARED_STUDIES) -> DataFrame:
-    """Contradictory doses, rates and hazard ratios among the first ``k`` studies of a query.
+def contradictions(ranked: DataFrame, text: str, k: int | None = None) -> DataFrame:
+    """Contradictory doses, rates and hazard ratios among the studies of a query.
 
-    ``ranked`` holds query_id, doc_id, pos and the text. Only the studies an answer is built on
-    are compared, so a query has at most k*(k-1)/2 pairs, made inside one row.
+    ``ranked`` holds query_id, doc_id, pos and the text. Every two studies of a query are compared, or
+    of its first ``k`` where the caller states a number. Studies without findings leave first; the
+    findings of the others, not their texts, meet in an equi join on the query, which AQE can split.
     """
-    top = ranked.filter(F.col("pos") <= k)
+    rows = ranked if k is None else ranked.filter(F.col("pos") <= k)
     t = F.col(text)
-    item = F.struct(
-        "pos", "doc_id", F.slice(findings(t, DOSE_RE, 2), 1, 2).alias("doses"), findings(t, RATE_RE, 2).alias("rates"), F.slice(findings(t, HR_RE, 3), 1, 1).alias("hrs")
-    )
-    lists = top.select("query_id", item.alias("s")).groupBy("query_id").agg(F.array_sort(F.collect_list("s"), lambda x, y: x["pos"] - y["pos"]).alias("studies"))
-    pairs = F.flatten(
-        F.transform("studies", lambda x, i: F.transform(F.slice("studies", i + 2, k), lambda y: F.struct(x.alias("x"), y.alias("y"))))
-    )
-    rows = lists.select("query_id", F.explode(pairs).alias("p")).select("query_id", "p.x", "p.y")
+    found = rows.select(
+        "query_id", "pos", "doc_id", F.slice(findings(t, DOSE_RE, 2), 1, 2).alias("doses"), findings(t, RATE_RE, 2).alias("rates"), F.slice(findings(t, HR_RE, 3), 1, 1).alias("hrs")
+    ).filter((F.size("doses") > 0) | (F.size("rates") > 0) | (F.size("hrs") > 0))
+    side = lambda n: found.select("query_id", F.col("pos").alias(f"pos_{n}"), F.struct("doc_id", "doses", "rates", "hrs").alias(n))
+    rows = side("x").join(side("y"), "query_id").filter(F.col("pos_x") < F.col("pos_y"))
     dose = _pairs(F.col("x.doses"), F.col("y.doses"), lambda a, b: F.abs(a["value"] - b["value"]) / F.greatest(a["value"], b["value"]) > 0.10)
     rate = _pairs(
         F.col("x.rates"), F.col("y.rates"),
@@ -110,16 +106,15 @@ def results_comparison(found: DataFrame, doc: str) -> DataFrame:
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:
     """For every left row the nearest right value within the tolerance, by buckets as wide as the tolerance.
 
-    Right values are made distinct first; a left row looks into three buckets, so nothing is
-    compared outside them.
+    Values of both sides are made distinct first, matched once, and joined back, so equal left rows
+    all stay. A value looks into three buckets, so nothing is compared outside them.
     """
     bucket = F.floor(F.col(value) / tolerance).cast("bigint")
     side = right.select(*keys, F.col(value).alias("found")).distinct().withColumn("bucket", F.floor(F.col("found") / tolerance).cast("bigint"))
-    asks = left.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    asks = left.select(*keys, value).distinct().withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     gap = F.abs(F.col("found") - F.col(value))
-    joined = asks.join(side, [*keys, "bucket"], "left")
-    near = F.when(gap <= tolerance, F.struct(gap.alias("gap"), F.col("found").alias("found")))
-    return joined.groupBy(*left.columns).agg(F.min(near).alias("_n")).select(*left.columns, F.col("_n.found").alias("found"), F.col("_n.gap").alias("gap"))
+    near = asks.join(side, [*keys, "bucket"]).filter(gap <= tolerance).groupBy(*keys, value).agg(F.min(F.struct(gap.alias("gap"), F.col("found").alias("found"))).alias("_n"))
+    return left.join(near, [*keys, value], "left").select(*left.columns, F.col("_n.found").alias("found"), F.col("_n.gap").alias("gap"))
 
 
 def validate_numbers(answers: DataFrame, sources: DataFrame, key: str, tolerance: float = ABSOLUTE_TOLERANCE) -> DataFrame:
@@ -186,10 +181,10 @@ def verify_citations(texts: DataFrame, studies: DataFrame, key: str, text: str)
     return cited.join(known, match, "left").select(key, "pos", "author", "year", F.coalesce("_k", F.lit(False)).alias("verified"))
 
 
-def gap_detection(queries: DataFrame, ranked: DataFrame, query_text: str, text: str) -> DataFrame:
-    """Queries that need guideline evidence, and whether their first ten hits hold any."""
+def gap_detection(queries: DataFrame, ranked: DataFrame, query_text: str, text: str, k: int) -> DataFrame:
+    """Queries that need guideline evidence, and whether their first ``k`` hits hold any."""
     guideline = next(p for n, p, _ in LANDMARKS if n == "guidelines")
-    top = ranked.filter(F.col("pos") <= 10).groupBy("query_id").agg(F.bool_or(F.col(text).rlike(guideline)).alias("has"))
+    top = ranked.filter(F.col("pos") <= k).groupBy("query_id").agg(F.bool_or(F.col(text).rlike(guideline)).alias("has"))
     needs = F.lower(query_text).rlike(NEEDS_GUIDELINE)
     joined = queries.withColumn("needs", needs).join(top, "query_id", "left")
     has = F.col("needs") & F.coalesce("has", F.lit(False))
@@ -214,7 +209,7 @@ def value_grounded(value: Column, source: Column) -> Column:
     return F.when(F.size(numbers) > 0, F.forall(numbers, lambda n: source.contains(n))).otherwise(True)
 
 
-def source_finder(values: DataFrame, chunks: DataFrame, doc: str, context: Sequence[str], k: int = 10) -> DataFrame:
+def source_finder(values: DataFrame, chunks: DataFrame, doc: str, context: Sequence[str], k: int) -> DataFrame:
     """Passages of a document scored for an extracted value; back matter is skipped."""
     skip = F.lower(F.coalesce("section", F.lit(""))).rlike("acknowledg|reference|funding|conflict")
     low, sec = F.lower("text"), F.lower(F.coalesce("section", F.lit("")))

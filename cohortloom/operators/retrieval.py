@@ -1,8 +1,8 @@
 """Scoring, fusion, caps and context for batches of queries.
 
-Ranked lists carry ``query_id`` and ``pos``, a total order inside the query. Lists are first
-cut to the retrieval pool with ``row_number <= k``, which Spark applies per task before the
-shuffle, so later windows only ever see pools.
+Ranked lists carry ``query_id`` and ``pos``, a total order inside the query. No operator cuts a list
+by itself: where the caller asks for the best ``k``, ``row_number <= k`` is applied per task before
+the shuffle.
 """
 
 from __future__ import annotations
@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.binding import let
 from cohortloom.functions.parse import round_half_up
-from cohortloom.session import is_small
 
 # Token pattern, BM25 and fusion constants.
 TOKEN = r"[a-z0-9][a-z0-9\-/\.≤≥%]+"
 RRF_K = 60
-POOL = 100
 # Size of a block of query vectors sent to the tasks, and of a score matrix inside one.
 BLOCK_BYTES = 32 * 1024 * 1024
 SCORE_CELLS = 4_000_000
@@ -68,8 +66,13 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def candidate_pool(df: DataFrame, score: str, tie: str, k: int = POOL) -> DataFrame:
-    """The retrieval pool of every query: best ``k`` by score, ``pos`` its order."""
+def ranked(df: DataFrame, score: str, tie: str, rank: str = "pos") -> DataFrame:
+    """Every row of a query with its place by score."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(score).desc(), F.asc(tie))))
+
+
+def candidate_pool(df: DataFrame, score: str, tie: str, k: int) -> DataFrame:
+    """The best ``k`` rows of every query by score, ``pos`` their order."""
     return top_per(df, ["query_id"], [F.col(score).desc(), F.asc(tie)], k, "pos")
 
 
@@ -155,9 +158,6 @@ def bm25(cands: DataFrame, queries: DataFrame, id_col: str, text: str, pattern:
     """
     words = queries.select("query_id", F.explode(tokens(F.col("query_text"), pattern)).alias("term"))
     q_terms = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    # The statistics have at most one row per query term, so one check bounds all three sides.
-    small = F.broadcast if is_small(q_terms) else lambda side: side
-    q_terms = small(q_terms)
     docs = cands.select("query_id", id_col, tokens(F.col(text), pattern).alias("toks")).withColumn("dl", F.size("toks"))
     stats = docs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     tf = docs.select("query_id", id_col, "dl", F.explode("toks").alias("term")).join(q_terms, ["query_id", "term"]).groupBy(
@@ -169,8 +169,8 @@ def bm25(cands: DataFrame, queries: DataFrame, id_col: str, text: str, pattern:
     idf = F.ln(ratio + 1.0) if floor is None else F.greatest(F.lit(floor), F.ln(ratio))
     weight = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1 - b + b * (F.col("dl") / F.col("avgdl"))))
     scored = (
-        tf.join(small(df), ["query_id", "term"])
-        .join(small(stats.join(queries.select("query_id").distinct(), "query_id", "left_semi")), "query_id")
+        tf.join(df, ["query_id", "term"])
+        .join(stats, "query_id")
         .groupBy("query_id", id_col)
         .agg(F.sum(F.col("qtf") * idf * weight).alias("score_lex"))
     )
@@ -359,7 +359,7 @@ def best_per_doc(df: DataFrame, score: str, k: int) -> DataFrame:
     return top_per(docs, ["query_id"], [F.asc("first_pos")], k, "doc_rank")
 
 
-def lane_caps(pool: DataFrame, text: str, max_trial: int = 12, max_guideline: int = 5) -> DataFrame:
+def lane_caps(pool: DataFrame, text: str, max_trial: int, max_guideline: int) -> DataFrame:
     """Documents take the lane of their first chunk; first documents per lane stay, trials first."""
     lane = F.when(is_guideline(F.col(text)), 1).otherwise(0)
     docs = pool.withColumn("_lane", lane).groupBy("query_id", "doc_id").agg(F.min("pos").alias("_first"), F.min_by("_lane", "pos").alias("lane"))
@@ -369,18 +369,18 @@ def lane_caps(pool: DataFrame, text: str, max_trial: int = 12, max_guideline: in
     return pool.join(kept, ["query_id", "doc_id"]).withColumn("out_pos", order)
 
 
-def lane_merge(pool: DataFrame, max_studies: int = 10, reserved: int = 2) -> DataFrame:
+def lane_merge(pool: DataFrame, max_studies: int, reserved: int = 2) -> DataFrame:
     """Reserved places per lane, the vector lane fills up; documents, titles and trial numbers once.
 
-    Works on pools (at most ``POOL`` rows per query): the lanes of a query lie in one array, and
-    a fold keeps the first row of every key.
+    Meant for pools: the caller states how many rows a query has (``candidate_pool``), as the lanes of a
+    query lie in one array, and a fold keeps the first row of every key.
     """
     lane_rank = F.when(F.col("lane") == "frame", 0).when(F.col("lane") == "both", 1).when(F.col("lane") == "structured", 2).otherwise(3)
     w = Window.partitionBy("query_id", "lane").orderBy("pos")
     picked = pool.withColumn("_r", F.row_number().over(w)).withColumn("_l", lane_rank).filter((F.col("_l") == 3) | (F.col("_r") <= reserved))
     keys = F.array_compact(F.array(
         F.concat(F.lit("d|"), F.col("doc_id").cast("string")),
-        F.concat(F.lit("f|"), F.substring(F.lower(F.trim("title")), 1, 80), F.lit("|"), F.coalesce(F.col("year").cast("string"), F.lit("0"))),
+        F.concat(F.lit("f|"), F.lower(F.trim("title")), F.lit("|"), F.coalesce(F.col("year").cast("string"), F.lit("0"))),
         F.concat(F.lit("n|"), F.upper("trial_no")),
     ))
     items = picked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_l", "pos", "doc_id", keys.alias("keys")))).alias("items"))
@@ -427,8 +427,8 @@ def merge_max(parts: DataFrame, score: str, second: str, tie: str) -> DataFrame:
 
 
 def group_to_study(df: DataFrame, text: str, score: str, top_m: int = 3, min_chunks: int = 1) -> DataFrame:
-    """Per study the best chunks with distinct text heads, and how many chunks it has."""
-    head = F.lower(F.trim(F.substring(text, 1, 200)))
+    """Per study the best chunks with distinct texts, and how many chunks it has."""
+    head = F.sha2(F.lower(F.trim(text)), 256)
     distinct = df.withColumn("_h", head).groupBy("query_id", "doc_id", "_h").agg(
         F.max_by(F.struct("chunk_id", score), F.struct(F.col(score), F.col("chunk_id"))).alias("_b"), F.count(F.lit(1)).alias("_n")
     )
@@ -459,7 +459,7 @@ def neighbor_windows(windows: DataFrame, keys: Sequence[str], idx: str, text: st
     return windows.join(prev, [*keys, idx], "left").join(nxt, [*keys, idx], "left")
 
 
-def expand_evidence(frames: DataFrame, chunks: DataFrame, ids: str, limit: int = 5) -> DataFrame:
+def expand_evidence(frames: DataFrame, chunks: DataFrame, ids: str, limit: int) -> DataFrame:
     """The first evidence chunks of a frame with their text."""
     rows = frames.select("frame_id", F.posexplode(F.slice(ids, 1, limit)).alias("evidence_pos", "chunk_id"))
     return rows.join(chunks, "chunk_id")
@@ -487,33 +487,41 @@ def accumulate_context(turns: DataFrame, key: str, order: str, scalar: str, list
     return scalars.join(items, key, "left").join(ordered.select(key, text.alias(phrase)), key, "left")
 
 
-def diversity_rerank(df: DataFrame, text: str, score: str, weight: float = 0.2, pool: int = 50) -> DataFrame:
+def diversity_rerank(df: DataFrame, text: str, score: str, weight: float = 0.2) -> DataFrame:
     """repeatedly take the row with the best score less its word overlap with those taken.
 
-    Sequential by nature, so it runs per query on the best ``pool`` rows only.
+    Every row of a query is ranked. The choice is sequential by nature, so a query is one group; its
+    texts are tokenised once, and each step compares all open rows with the last one as bit rows.
     """
-    top = top_per(df.select("query_id", "doc_id", text, score), ["query_id"], [F.desc(score), F.asc("doc_id")], pool, "pos")
+    rows = ranked(df.select("query_id", "doc_id", text, score), score, "doc_id")
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos").reset_index(drop=True)
-        words = [set(t.split()) for t in frame[text]]
-        values = frame[score].to_numpy(dtype=float)
-        taken, penalty, open_rows = [0], np.zeros(len(frame)), list(range(1, len(frame)))
-        while open_rows:
-            last = words[taken[-1]]
-            for i in open_rows:
-                if words[i] and last:
-                    penalty[i] += len(words[i] & last) / len(words[i] | last)
-            combined = [values[i] - weight * penalty[i] for i in open_rows]
-            best = int(np.argmax(combined)) if max(combined) > -1 else 0
-            taken.append(open_rows.pop(best))
+        place: dict[str, int] = {}
+        own = [[place.setdefault(w, len(place)) for w in set(t.split())] for t in frame[text]]
+        bits = np.zeros((len(own), -(-max(1, len(place)) // 64)), np.uint64)
+        for i, words in enumerate(own):
+            np.bitwise_or.at(bits[i], np.array(words, np.int64) >> 6, np.uint64(1) << (np.array(words, np.uint64) & np.uint64(63)))
+        size = np.array([len(w) for w in own], np.int64)
+        values, penalty, is_open = frame[score].to_numpy(dtype=float), np.zeros(len(own)), np.ones(len(own), bool)
+        taken, last = [0], 0
+        is_open[0] = False
+        while is_open.any():
+            both = np.bitwise_count(bits & bits[last]).sum(1).astype(np.int64)
+            either = size + size[last] - both
+            penalty += np.where((size > 0) & (size[last] > 0), both / np.maximum(either, 1), 0.0)
+            left = np.flatnonzero(is_open)
+            combined = values[left] - weight * penalty[left]
+            last = int(left[int(np.argmax(combined)) if combined.max() > -1 else 0])
+            taken.append(last)
+            is_open[last] = False
         out = frame.iloc[taken][["query_id", "doc_id"]].copy()
         out["rank"] = range(1, len(out) + 1)
         return out
 
     kind = df.schema["query_id"].dataType.simpleString()
     doc = df.schema["doc_id"].dataType.simpleString()
-    return top.groupBy("query_id").applyInPandas(pick, f"query_id {kind}, doc_id {doc}, rank int")
+    return rows.groupBy("query_id").applyInPandas(pick, f"query_id {kind}, doc_id {doc}, rank int")
 
 
 def sigmoid_percent(raw: Column) -> Column:

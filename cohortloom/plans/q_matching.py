@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions import parse, rules
@@ -34,11 +35,12 @@ def _pairs(b):
     return m.case_pairs(b.cases.withColumn("case_stage", m.stage_features(F.col("stage"))), _studies(b))
 
 
+# How many studies a structured match returns for a case; a fixed value of that operator alone.
 TOP = 20
 
 
-def _top(df, score, limit=TOP):
-    return m.top_per(df, ["case_id"], [F.desc(score), F.asc("study_id")], limit)
+def _ordered(df, score):
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc(score), F.asc("study_id"))))
 
 
 # ---- case scores -------------------------------------------------------------------------------
@@ -70,12 +72,12 @@ def _case_similarity(b):
 
 @query(
     "case_similarity",
-    f"WITH {STUDY_SQL}, s as (select case_id, study_id, {_SIM_SQL} as v from pr) select case_id, study_id, {sq6('v')} as similarity, row_number() over (partition by case_id order by round(v, 9) desc, study_id) as rank from s qualify rank <= {TOP}",
+    f"WITH {STUDY_SQL}, s as (select case_id, study_id, {_SIM_SQL} as v from pr) select case_id, study_id, {sq6('v')} as similarity, row_number() over (partition by case_id order by round(v, 9) desc, study_id) as rank from s",
     "studies cases",
 )
 def _similarity(b):
     rows = _case_similarity(b).withColumn("r9", F.round("similarity", 9))
-    return _top(rows, "r9").select("case_id", "study_id", rnd6(F.col("similarity")).alias("similarity"), "rank")
+    return _ordered(rows, "r9").select("case_id", "study_id", rnd6(F.col("similarity")).alias("similarity"), "rank")
 
 
 _REL = [
@@ -110,27 +112,27 @@ _RELV_SQL = f"{STUDY_SQL}, rv as (select case_id, study_id, score, round({_REL_S
 
 @query(
     "patient_relevance",
-    f"WITH {_RELV_SQL} select case_id, study_id, {sq6('relevance')} as relevance, row_number() over (partition by case_id order by relevance desc, study_id) as rank from rv qualify rank <= {TOP}",
+    f"WITH {_RELV_SQL} select case_id, study_id, {sq6('relevance')} as relevance, row_number() over (partition by case_id order by relevance desc, study_id) as rank from rv",
     "studies cases",
 )
 def _patient_relevance(b):
     rows = _relevance(b).withColumn("relevance", F.round("relevance", 9))
-    return _top(rows, "relevance").select("case_id", "study_id", rnd6(F.col("relevance")).alias("relevance"), "rank")
+    return _ordered(rows, "relevance").select("case_id", "study_id", rnd6(F.col("relevance")).alias("relevance"), "rank")
 
 
 @query(
     "combined_score",
-    f"WITH {_RELV_SQL}, v as (select case_id, study_id, round(0.6 * score / 500000 + 0.4 * relevance / 100, 9) as combined from rv) select case_id, study_id, {sq6('combined')} as combined, row_number() over (partition by case_id order by combined desc, study_id) as rank from v qualify rank <= {TOP}",
+    f"WITH {_RELV_SQL}, v as (select case_id, study_id, round(0.6 * score / 500000 + 0.4 * relevance / 100, 9) as combined from rv) select case_id, study_id, {sq6('combined')} as combined, row_number() over (partition by case_id order by combined desc, study_id) as rank from v",
     "studies cases",
 )
 def _combined(b):
     rows = _relevance(b).withColumn("combined", F.round(0.6 * F.col("score") / 500000 + 0.4 * F.round("relevance", 9) / 100, 9))
-    return _top(rows, "combined").select("case_id", "study_id", rnd6(F.col("combined")).alias("combined"), "rank")
+    return _ordered(rows, "combined").select("case_id", "study_id", rnd6(F.col("combined")).alias("combined"), "rank")
 
 
 @query(
     "sort_by_preference",
-    f"""WITH s as (select study_id, coalesce({k.percent('overall_survival')}, 0.0) + 0.8 * coalesce({k.percent('progression_free_survival')}, 0.0) as o from studies) select study_id, round(o, 6) as outcome from s order by o desc, study_id limit 50""",
+    f"""WITH s as (select study_id, coalesce({k.percent('overall_survival')}, 0.0) + 0.8 * coalesce({k.percent('progression_free_survival')}, 0.0) as o from studies) select study_id, round(o, 6) as outcome from s""",
     "studies",
 )
 def _sort_pref(b):
@@ -138,7 +140,7 @@ def _sort_pref(b):
         "study_id", "number_of_patients", "publish_date", "citation_count", F.lit(0.0).alias("relevance"),
         parse.extract_percent(F.col("overall_survival")).alias("os_rate_percent"), parse.extract_percent(F.col("progression_free_survival")).alias("pfs_rate_percent"),
     )
-    out = m.sort_by_preference(rows, "outcomes", 50)
+    out = m.sort_by_preference(rows, "outcomes")
     return out.select("study_id", F.round(F.col("sort_key").cast("double"), 6).alias("outcome"))
 
 
@@ -206,7 +208,7 @@ def _weight_map(b):
 
 def _structured(b):
     c = F.col
-    pairs = _pairs(b).join(F.broadcast(_weight_map(b)), "case_id")
+    pairs = _pairs(b).join(_weight_map(b), "case_id")
     bio = m.map_alias_match(c("status_map"), c("marker"), c("marker_status"))
     verdict = m.stage_verdict(c("case_stage"), c("study_stage"))
     rows = pairs.withColumn("bio", bio).withColumn("sv", verdict).filter(m.contra_exclusion(~c("bio")))

@@ -15,7 +15,7 @@ from cohortloom.plans.registry import query
 
 
 def _ranked(b):
-    return r.candidate_pool(b.abstracts, "score", "study_id")
+    return r.ranked(b.abstracts, "score", "study_id")
 
 
 def _lists(pattern: str, groups: int, limit: int | None = None) -> str:
@@ -29,7 +29,7 @@ def _first_pair(x: str, y: str, test: str) -> str:
     return f"(list_filter(flatten(list_transform({x}, lambda a: list_transform({y}, lambda b: struct_pack(a := a, b := b)))), lambda p: {test}))[1]"
 
 
-CONTRA_SQL = f"""{APOOL_SQL}, tp as (select query_id, doc_id, pos, {_lists(t.DOSE_RE, 2, 2)} as doses, {_lists(t.RATE_RE, 2)} as rates, {_lists(t.HR_RE, 1, 1)} as hrs from apool where pos <= 10),
+CONTRA_SQL = f"""{APOOL_SQL}, tp as (select query_id, doc_id, pos, {_lists(t.DOSE_RE, 2, 2)} as doses, {_lists(t.RATE_RE, 2)} as rates, {_lists(t.HR_RE, 1, 1)} as hrs from apool),
     pp as (select x.query_id, x.doc_id as doc_a, y.doc_id as doc_b, {_first_pair('x.doses', 'y.doses', 'abs(p.a.v - p.b.v) / greatest(p.a.v, p.b.v) > 0.10')} as d,
       {_first_pair('x.rates', 'y.rates', '(p.a.e is null or p.b.e is null or p.a.e = p.b.e) and abs(p.a.v - p.b.v) > 15')} as s,
       {_first_pair('x.hrs', 'y.hrs', '(p.a.v < 0.9 and p.b.v > 1.1) or (p.a.v > 1.1 and p.b.v < 0.9)')} as h from tp x join tp y on x.query_id = y.query_id and x.pos < y.pos),
@@ -175,7 +175,7 @@ def _gap(b):
     seg = F.col("c_mktsegment")
     text = F.when(seg == "BUILDING", "What does the guideline recommend?").when(seg == "MACHINERY", "Second-line therapy options").otherwise("dose of 50 Gy")
     queries = b.customer.select(F.col("c_custkey").alias("query_id"), text.alias("query_text"))
-    return q.gap_detection(queries, _ranked(b), "query_text", "text")
+    return q.gap_detection(queries, _ranked(b), "query_text", "text", 10)
 
 
 @query(
@@ -185,7 +185,7 @@ def _gap(b):
     "hits",
 )
 def _packet(b):
-    ranked = r.candidate_pool(b.hits, "score_dense", "chunk_id").withColumn("score", F.col("score_dense"))
+    ranked = r.ranked(b.hits, "score_dense", "chunk_id").withColumn("score", F.col("score_dense"))
     return q.packet_summary(ranked, "part_id", 8)
 
 
@@ -207,7 +207,7 @@ def _grounded(b):
     """WITH v as (select detail_id as value_id, study_id, total_dose as value from details where total_dose is not null), c as (select detail_id as chunk_id, study_id, evidence_quote as text, case target_volume when 'primary' then 'Results' else 'Methods of dose' end as section from details where not technique ilike '%palliative%'),
     s as (select value_id, chunk_id, (case when contains(lower(text), lower(value)) then 10 else 0 end) + len(list_filter(regexp_extract_all(value, '\\d+\\.?\\d*'), lambda p: contains(lower(text), p))) * 5 + (case when contains(lower(text), 'dose') then 2 else 0 end) + (case when contains(lower(text), 'gray') then 2 else 0 end)
       + (case when contains(lower(section), 'result') then 3 when contains(lower(section), 'method') then 2 else 0 end) as points from v join c using (study_id))
-    select value_id, chunk_id, points, row_number() over (partition by value_id order by points desc, chunk_id) as rank from s where points > 0 qualify rank <= 3""",
+    select value_id, chunk_id, points, row_number() over (partition by value_id order by points desc, chunk_id) as rank from s where points > 0 qualify rank <= 10""",
     "details",
 )
 def _finder(b):
@@ -215,7 +215,7 @@ def _finder(b):
     values = d.filter(F.col("total_dose").isNotNull()).select(F.col("detail_id").alias("value_id"), "study_id", F.col("total_dose").alias("value"))
     section = F.when(F.col("target_volume") == "primary", "Results").otherwise("Methods of dose")
     chunks = d.filter(~F.col("technique").ilike("%palliative%")).select(F.col("detail_id").alias("chunk_id"), "study_id", F.col("evidence_quote").alias("text"), section.alias("section"))
-    return q.source_finder(values, chunks, "study_id", ["dose", "gray"], 3).select("value_id", "chunk_id", "points", "rank")
+    return q.source_finder(values, chunks, "study_id", ["dose", "gray"], 10).select("value_id", "chunk_id", "points", "rank")
 
 
 @query(
@@ -239,7 +239,7 @@ TRUTH_SQL = "tr as (select query_id, doc_id, case when max(discount) > 0.07 then
 def _precision(b):
     best, worst = F.max("discount") > 0.07, F.max("discount") < 0.01
     truth = b.hits.groupBy("query_id", "doc_id").agg(F.when(best, "relevant").when(worst, "forbidden").otherwise("neutral").alias("truth"))
-    return q.precision_recall(r.candidate_pool(b.hits, "score_dense", "chunk_id"), truth, 10, 50)
+    return q.precision_recall(r.ranked(b.hits, "score_dense", "chunk_id"), truth, 10, 50)
 
 
 @query(

@@ -566,7 +566,7 @@ def _study_dedup(b):
     s = b.studies
     rows = s.select(
         "study_id",
-        F.concat_ws("|", F.substring(F.lower(F.trim("study_name")), 1, 80), F.col("pub_year").cast("string"), "country").alias("fingerprint"),
+        F.concat_ws("|", F.lower(F.trim("study_name")), F.col("pub_year").cast("string"), "country").alias("fingerprint"),
         F.when(F.col("status") == "P", F.concat(F.lit("NCT"), F.col("citation_count").cast("string"), F.lit("-"), F.col("region_key").cast("string"))).alias("trial_no"),
     )
     return dedupe.first_wins(rows, "study_id", ["fingerprint", "trial_no"])
@@ -575,7 +575,7 @@ def _study_dedup(b):
 @query(
     "multi_corpus_merge",
     """WITH p as (select case when l_linestatus = 'F' then l_orderkey * 10 + l_linenumber end as point_id, case when l_returnflag <> 'R' then l_orderkey end as doc_id, l_returnflag as section, l_linenumber as chunk_index, 'item ' || l_partkey as text, (l_suppkey, l_orderkey, l_quantity, l_partkey, l_linenumber) as pos, case when l_tax < 0.04 then 0 else 1 end as corpus, l_extendedprice as price from lineitem),
-    i as (select *, coalesce('point:' || point_id, 'doc:' || doc_id || '|' || section || '|' || chunk_index, 'text:' || substr(text, 1, 80)) as identity from p)
+    i as (select *, coalesce('point:' || point_id, 'doc:' || doc_id || '|' || section || '|' || chunk_index, 'text:' || text) as identity from p)
     select identity, corpus, price from (select *, row_number() over (partition by identity order by corpus, pos) as r from i) where r = 1""",
 )
 def _merge_corpora(b):

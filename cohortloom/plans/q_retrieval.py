@@ -17,19 +17,20 @@ def sq6(expr: str) -> str:
     return f"cast(round(cast({expr} as decimal(38,12)), 6) as double)"
 
 
-POOL_SQL = "pool as (select *, row_number() over (partition by query_id order by score_dense desc, chunk_id) as pos from hits qualify pos <= 100)"
+POOL_SQL = "pool as (select *, row_number() over (partition by query_id order by score_dense desc, chunk_id) as pos from hits)"
+POOL_100_SQL = POOL_SQL.replace("from hits)", "from hits qualify pos <= 100)")
 
 
 def _pool(b):
-    return r.candidate_pool(b.hits, "score_dense", "chunk_id")
+    return r.ranked(b.hits, "score_dense", "chunk_id")
 
 
 # Abstracts ranked per customer: documents for the text-based boosts.
-APOOL_SQL = "apool as (select *, row_number() over (partition by query_id order by score desc, study_id) as pos from abstracts qualify pos <= 100)"
+APOOL_SQL = "apool as (select *, row_number() over (partition by query_id order by score desc, study_id) as pos from abstracts)"
 
 
 def _apool(b):
-    return r.candidate_pool(b.abstracts, "score", "study_id")
+    return r.ranked(b.abstracts, "score", "study_id")
 
 
 # ---- dense -------------------------------------------------------------------------------------
@@ -115,7 +116,7 @@ _WORDS_SQL = "list_distinct(list_filter(list_filter(regexp_split_to_array(lower(
     f"""WITH {SRCQ_SQL}, t as (select doc_id, {_WORDS_SQL.format(q='query_text', d='text')} from documents join qs on source = query_id) select doc_id, {sq6(_DENSITY_SQL)} as density from t""",
 )
 def _density(b):
-    rows = _src_cands(b).join(F.broadcast(_src_queries(b)), "query_id")
+    rows = _src_cands(b).join(_src_queries(b), "query_id")
     return rows.select("doc_id", rnd6(r.keyword_density(F.col("query_text"), F.col("text"))).alias("density"))
 
 
@@ -132,8 +133,8 @@ def _hybrid_alpha(b):
     anchor = vectors.groupBy("query_id").agg(F.min_by("embedding", "doc_id").alias("anchor"))
     lex = r.per_query_max_norm(_floor(b), "score_lex", "lex_norm")
     rows = (
-        vectors.join(F.broadcast(anchor), "query_id").withColumn("cos", r.cosine(F.col("embedding"), F.col("anchor")))
-        .join(lex, ["query_id", "doc_id"]).join(F.broadcast(_src_queries(b)), "query_id")
+        vectors.join(anchor, "query_id").withColumn("cos", r.cosine(F.col("embedding"), F.col("anchor")))
+        .join(lex, ["query_id", "doc_id"]).join(_src_queries(b), "query_id")
     )
     return r.hybrid_alpha(rows).select("query_id", "doc_id", rnd6(F.col("score")).alias("score"))
 
@@ -148,7 +149,7 @@ _PLAIN_WORDS = "list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+
 )
 def _hybrid_overlap(b):
     rows = b.documents.select(F.col("source").alias("query_id"), "doc_id", "text", (F.col("n_chars") / 20000.0).alias("score_dense")).join(
-        F.broadcast(_src_queries(b)), "query_id"
+        _src_queries(b), "query_id"
     )
     return r.hybrid_overlap(rows).select("query_id", "doc_id", rnd6(F.col("score")).alias("score"))
 
@@ -206,9 +207,10 @@ def _rrf(b):
     return _fused(b).select("query_id", "chunk_id", "rank_dense", "rank_lex", F.round("score_fused", 9).alias("score_fused"))
 
 
-@query("structure_rerank", f"WITH {RERANK_SQL} select query_id, chunk_id, round(score_rerank, 9) as score_rerank from rr", "hits")
+@query("structure_rerank", f"WITH {RERANK_SQL} select query_id, chunk_id, cast(round(cast(score_rerank as decimal(38,15)), 9) as double) as score_rerank from rr", "hits")
 def _rerank(b):
-    return _reranked(b).select("query_id", "chunk_id", F.round("score_rerank", 9).alias("score_rerank"))
+    score = F.round(F.col("score_rerank").cast("decimal(38,15)"), 9).cast("double")
+    return _reranked(b).select("query_id", "chunk_id", score.alias("score_rerank"))
 
 
 _CAPS = """c1 as (select *, row_number() over (partition by query_id, doc_id, case when coalesce(section, '') <> '' then 's:' || section when chunk_type = 'table_row' then 't:' || coalesce(table_number, '') else 'c:' || chunk_id end order by ord) as n from {src}),
@@ -255,11 +257,11 @@ def _pattern(b):
     "lane_caps",
     f"""WITH {APOOL_SQL}, l as (select *, cast({' or '.join(f"regexp_matches(text, {k.q(p)})" for n, p, _ in r.LANDMARKS if n in r.GUIDELINE_LANE)} as int) as lane from apool),
     d as (select query_id, doc_id, lane, row_number() over (partition by query_id, lane order by pos) as n from l)
-    select l.query_id, l.doc_id, l.lane, row_number() over (partition by l.query_id order by l.lane, l.pos) as out_pos from l join d using (query_id, doc_id) where n <= case when l.lane = 0 then 4 else 2 end""",
+    select l.query_id, l.doc_id, l.lane, row_number() over (partition by l.query_id order by l.lane, l.pos) as out_pos from l join d using (query_id, doc_id) where n <= case when l.lane = 0 then 12 else 5 end""",
     "abstracts",
 )
 def _lanes(b):
-    return r.lane_caps(_apool(b), "text", 4, 2).select("query_id", "doc_id", "lane", "out_pos")
+    return r.lane_caps(_apool(b), "text", 12, 5).select("query_id", "doc_id", "lane", "out_pos")
 
 
 @query(
@@ -322,9 +324,9 @@ def _best(b):
     return r.best_per_doc(_pool(b), "score_lex", 10)
 
 
-LANES_SQL = f"""{POOL_SQL}, lp as (select query_id, doc_id, pos, case flag when 'A' then 'frame' when 'N' then case when line_status = 'F' then 'both' else 'structured' end else 'vector' end as lane, 'Trial ' || cast(floor(amount / 8000) as bigint) as title, cast(extract(year from shipped_at) as bigint) as year, case when part_id < 200 then 'nct' || part_id end as trial_no from pool),
+LANES_SQL = f"""{POOL_100_SQL}, lp as (select query_id, doc_id, pos, case flag when 'A' then 'frame' when 'N' then case when line_status = 'F' then 'both' else 'structured' end else 'vector' end as lane, 'Trial ' || cast(floor(amount / 8000) as bigint) as title, cast(extract(year from shipped_at) as bigint) as year, case when part_id < 200 then 'nct' || part_id end as trial_no from pool),
     pk as (select *, case lane when 'frame' then 0 when 'both' then 1 when 'structured' then 2 else 3 end as l, row_number() over (partition by query_id, lane order by pos) as r from lp),
-    it as (select query_id, l, doc_id, row_number() over (partition by query_id order by l, pos) as i, list_filter(['d|' || doc_id, 'f|' || substr(lower(trim(title)), 1, 80) || '|' || coalesce(cast(year as varchar), '0'), 'n|' || upper(trial_no)], lambda x: x is not null) as keys from pk where l = 3 or r <= 2)"""
+    it as (select query_id, l, doc_id, row_number() over (partition by query_id order by l, pos) as i, list_filter(['d|' || doc_id, 'f|' || lower(trim(title)) || '|' || coalesce(cast(year as varchar), '0'), 'n|' || upper(trial_no)], lambda x: x is not null) as keys from pk where l = 3 or r <= 2)"""
 
 
 @query(
@@ -336,7 +338,7 @@ LANES_SQL = f"""{POOL_SQL}, lp as (select query_id, doc_id, pos, case flag when
 )
 def _lane_merge(b):
     lane = F.when(F.col("flag") == "A", "frame").when(F.col("flag") == "R", "vector").otherwise(F.when(F.col("line_status") == "F", "both").otherwise("structured"))
-    rows = _pool(b).select(
+    rows = r.candidate_pool(b.hits, "score_dense", "chunk_id", 100).select(
         "query_id", "doc_id", "pos", lane.alias("lane"), F.concat(F.lit("Trial "), F.floor(F.col("amount") / 8000).cast("string")).alias("title"),
         F.year("shipped_at").alias("year"), F.when(F.col("part_id") < 200, F.concat(F.lit("nct"), F.col("part_id").cast("string"))).alias("trial_no"),
     )
@@ -355,7 +357,7 @@ def _merge_max(b):
 @query(
     "group_to_study",
     """WITH h as (select flag as query_id, part_id as doc_id, chunk_id, score_dense, 'Text ' || window_idx || ' ' || line_status as text from hits),
-    d as (select query_id, doc_id, lower(trim(substr(text, 1, 200))) as hd, arg_max(chunk_id, (score_dense, chunk_id)) as chunk_id, max(score_dense) as score_dense, count(*) as n from h group by 1, 2, 3),
+    d as (select query_id, doc_id, lower(trim(text)) as hd, arg_max(chunk_id, (score_dense, chunk_id)) as chunk_id, max(score_dense) as score_dense, count(*) as n from h group by 1, 2, 3),
     t as (select *, row_number() over (partition by query_id, doc_id order by score_dense desc, chunk_id) as rank from d), s as (select query_id, doc_id, sum(n) as chunks_n from d group by 1, 2)
     select query_id, doc_id, max(score_dense) as best, string_agg(chunk_id, ';' order by rank) as chunks, cast(any_value(chunks_n) as bigint) as chunks_n from t join s using (query_id, doc_id) where rank <= 3 group by 1, 2 having any_value(chunks_n) >= 2""",
     "hits",
@@ -397,7 +399,7 @@ def _neighbors(b):
 def _expand(b):
     top = r.top_per(b.hits.filter(F.col("flag") == "A"), ["doc_id"], [F.asc("chunk_id")], 5)
     frames = top.groupBy(F.col("doc_id").alias("frame_id")).agg(F.array_sort(F.collect_list("chunk_id")).alias("ids"))
-    return r.expand_evidence(frames, b.hits.select("chunk_id", "section", "qty"), "ids")
+    return r.expand_evidence(frames, b.hits.select("chunk_id", "section", "qty"), "ids", 5)
 
 
 @query(
@@ -464,7 +466,7 @@ PACK_SQL = f"""{RERANK_SQL}, bo as (select * exclude (pos), row_number() over (p
 
 
 def _final(b):
-    ordered = r.top_per(_reranked(b), ["query_id"], [F.desc("score_rerank"), F.asc("pos")], r.POOL, "ord")
+    ordered = r.ranked(_reranked(b), "score_rerank", "pos", "ord")
     return r.top_per(r.dedup_caps(ordered, "ord"), ["query_id"], [F.asc("ord")], 10)
 
 

@@ -1,4 +1,4 @@
-"""Session settings and the two guards every operator shares: checked broadcasts and durable checkpoints."""
+"""Session settings, rule tables, and the shared folder for checkpoints."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have before it is no longer broadcast.
-BROADCAST_ROW_LIMIT = 100_000
-
 
 def build_session(app: str = "cohortloom", cores: str | None = None) -> SparkSession:
     """Local session for tests and the bench; on a cluster use the session you are given."""
@@ -33,20 +30,6 @@ def build_session(app: str = "cohortloom", cores: str | None = None) -> SparkSes
     )
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """Whether ``df`` is proven to hold at most ``limit`` rows."""
-    return df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= limit
-
-
-def broadcast_checked(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only when it is proven to hold at most ``limit`` rows.
-
-    Larger sides come back without a hint, so the join is shuffled and AQE splits
-    skewed partitions.
-    """
-    return F.broadcast(df) if is_small(df, limit) else df
-
-
 def rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Fixed rules as a broadcast DataFrame (the rows are in the program, so the size is known)."""
     return F.broadcast(spark.createDataFrame(rows, schema))
