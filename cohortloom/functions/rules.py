@@ -94,28 +94,28 @@ TECHNIQUE_SPELLINGS: dict[str, list[str]] = {
 
 # Receptor and gene statements with the status they declare; the first hit per marker wins.
 MARKER_PATTERNS: list[tuple[str, str, str]] = [
-    (r"\ber\s*[+]\s*|estrogen\s*receptor\s*positive", "ER", "positive"),
-    (r"\ber\s*[-]\s*|estrogen\s*receptor\s*negative", "ER", "negative"),
-    (r"\bpr\s*[+]\s*|progesterone\s*receptor\s*positive", "PR", "positive"),
-    (r"\bpr\s*[-]\s*|progesterone\s*receptor\s*negative", "PR", "negative"),
-    (r"her.?2\s*[+]|her.?2\s*positive|her.?2\s*amplified", "HER2", "positive"),
-    (r"her.?2\s*[-]|her.?2\s*negative|her.?2\s*non.amplified", "HER2", "negative"),
+    (r"\ber\s*[\+]\s*|estrogen\s*receptor\s*positive", "ER", "positive"),
+    (r"\ber\s*[\-]\s*|estrogen\s*receptor\s*negative", "ER", "negative"),
+    (r"\bpr\s*[\+]\s*|progesterone\s*receptor\s*positive", "PR", "positive"),
+    (r"\bpr\s*[\-]\s*|progesterone\s*receptor\s*negative", "PR", "negative"),
+    (r"her.?2\s*[\+]|her.?2\s*positive|her.?2\s*amplified", "HER2", "positive"),
+    (r"her.?2\s*[\-]|her.?2\s*negative|her.?2\s*non.amplified", "HER2", "negative"),
     (r"triple\s*negative|tnbc", "TNBC", "positive"),
-    (r"egfr\s*mutant|egfr\s*mutation|egfr\s*positive|egfr\s*[+]", "EGFR", "mutant"),
+    (r"egfr\s*mutant|egfr\s*mutation|egfr\s*positive|egfr\s*\+", "EGFR", "mutant"),
     (r"egfr\s*wild.?type|egfr\s*negative|egfr\s*wt", "EGFR", "wild-type"),
-    (r"alk\s*positive|alk\s*[+]|alk\s*rearrang|alk\s*fusion", "ALK", "positive"),
-    (r"alk\s*negative|alk\s*[-]", "ALK", "negative"),
-    (r"pd.?l1\s*positive|pd.?l1\s*[+]|pd.?l1\s*high", "PD-L1", "positive"),
-    (r"pd.?l1\s*negative|pd.?l1\s*[-]|pd.?l1\s*low", "PD-L1", "negative"),
-    (r"kras\s*mutant|kras\s*mutation|kras\s*[+]", "KRAS", "mutant"),
+    (r"alk\s*positive|alk\s*\+|alk\s*rearrang|alk\s*fusion", "ALK", "positive"),
+    (r"alk\s*negative|alk\s*\-", "ALK", "negative"),
+    (r"pd.?l1\s*positive|pd.?l1\s*\+|pd.?l1\s*high", "PD-L1", "positive"),
+    (r"pd.?l1\s*negative|pd.?l1\s*\-|pd.?l1\s*low", "PD-L1", "negative"),
+    (r"kras\s*mutant|kras\s*mutation|kras\s*\+", "KRAS", "mutant"),
     (r"kras\s*wild.?type|kras\s*wt", "KRAS", "wild-type"),
-    (r"braf\s*v600|braf\s*mutant|braf\s*mutation|braf\s*[+]", "BRAF", "mutant"),
+    (r"braf\s*v600|braf\s*mutant|braf\s*mutation|braf\s*\+", "BRAF", "mutant"),
     (r"braf\s*wild.?type|braf\s*wt", "BRAF", "wild-type"),
     (r"msi.?h|microsatellite\s*instability.?high", "MSI", "high"),
     (r"mss|microsatellite\s*stable|msi.?l", "MSI", "stable"),
     (r"brca\s*mutant|brca\s*mutation|brca1|brca2", "BRCA", "mutant"),
-    (r"hpv\s*positive|hpv\s*[+]|p16\s*positive|p16\s*[+]", "HPV", "positive"),
-    (r"hpv\s*negative|hpv\s*[-]|p16\s*negative|p16\s*[-]", "HPV", "negative"),
+    (r"hpv\s*positive|hpv\s*\+|p16\s*positive|p16\s*\+", "HPV", "positive"),
+    (r"hpv\s*negative|hpv\s*\-|p16\s*negative|p16\s*\-", "HPV", "negative"),
 ]
 
 # Genomic assays.

@@ -530,10 +530,11 @@ LAY_TERMS: list[tuple[str, list[str]]] = [
 ]
 # Words that show an axis is stated.
 AXIS_WORDS = [
-    ("cancer_type", r"(?i)\b(breast|lung|prostate|colon|rectal|melanoma|lymphoma|brain|glioma|glioblastoma)\b"),
-    ("treatment", r"(?i)\b(chemo\w*|radiation|radiotherapy|immunotherapy|surgery|osimertinib|targeted|hormone)\b"),
-    ("stage", r"(?i)\b(stage\s*(?:1|2|3|4|i{1,3}v?|iv)|early|advanced|metastatic|spread)\b"),
-]
+    ("cancer_type", r"(?i)\b(breast|lung|prostate|colon|colorectal|rectal|bladder|kidney|renal|liver|pancrea\w+|stomach|gastric|oesophag\w+|esophag\w+|ovar\w+|cervi\w+"
+                    r"|uterine|endometrial|head and neck|throat|tongue|larynx|thyroid|melanoma|skin|lymphoma|leukemia|leukaemia|myeloma|sarcoma|brain|glioma|testic\w+)\b"),
+    ("treatment", r"(?i)\b(chemo\w*|radiation|radiotherapy|immunotherapy|surgery|operation|pembrolizumab|pembro|nivolumab|nivo|targeted|hormone|infusion|pill|tablet|trial|transplant)\b"),
+    ("stage", r"(?i)\b(stage\s*(?:1|2|3|4|i{1,3}v?|iv)|early|advanced|metastatic|spread|localis?ed|localiz?ed)\b"),
+]
 
 
 def vocab_expand(text: Column, max_terms: int = 24) -> Column:

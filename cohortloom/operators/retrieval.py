@@ -30,7 +30,7 @@ LANDMARKS: list[tuple[str, str, float]] = [
                      r"|FAST[- ]?FORWARD|START|PRIME|AMAROS|Z0011|ACOSOG|TAILORx|RxPONDER|MINDACT|SOFT|TEXT|MONARCH|CLEOPATRA"
                      r"|APHINITY|KATHERINE|DESTINY|EMILIA|HORRAD|FLAURA|EMBRACE|ASCENDE[- ]?RT|EURAMOS|STARS|ROSEL"
                      r"|CAO[/-]?ARO[/-]?AIO|STOCKHOLM|MA[- ]?20|DANISH)\b", 1.20),
-    ("author_named_trials", r"(?i)\b(Stupp|Packer|Turrisi|Slotman|Zhang|Womer|Loehrer)\b.*(trial|study|NEJM|Lancet|JCO|JAMA)", 1.20),
+    ("author_named_trials", r"(?i)\b(Stupp|Packer|Turrisi|Slotman|Zhang|Womer|Loehrer)\b.*(trial|study|NEJM|Lancet|JCO|JAMA|N\s*Engl\s*J\s*Med)", 1.20),
     ("guidelines", r"(?i)\b(NCCN|ASTRO|ASCO|ESMO|AUA|ESTRO|NICE)\s*(?:guideline|recommendation|consensus)", 1.30),
     ("rct", r"(?i)\b(randomized|randomised|RCT|phase\s*(?:III|3)|prospective\s+randomized|multicenter\s+randomized)\b", 1.15),
     ("meta_analysis", r"(?i)\b(meta[- ]?analysis|systematic\s+review|cochrane|pooled\s+analysis)\b", 1.20),

@@ -66,7 +66,8 @@ CLASS_THRESHOLD = 2.5
 # Negation cues before and after a term, and how far they reach.
 NEG_BEFORE = (
     r"\b(no|not|without|exclud(?:e|ed|es|ing|able)?|negative\s+for|absence\s+of|lack(?:ing|s)?\s+of|no\s+history\s+of"
-    r"|no\s+evidence\s+of|no\s+signs\s+of|no\s+known|denies|denied|never\s+had|free\s+of|non-|ruled\s+out|rule\s+out|ruling\s+out)\b"
+    r"|no\s+evidence\s+of|no\s+signs\s+of|no\s+known|denies|denied|never\s+had|free\s+of|non-|ruled\s+out|rule\s+out|ruling\s+out"
+    r"|prior\s+[^.;]{0,25}\s+(?:excluded|ruled\s+out))\b"
 )
 NEG_AFTER = (
     r"^[\s,;:]*(?:(?:was|were|is|are|has\s+been|have\s+been)\s+)?"
@@ -79,7 +80,7 @@ STATUS_AFTER = [
     (r"^[\s\-/](?:mutated|mutation|mutant|methylated|methylation)\b", "mutated"),
     (r"^[\s\-/](?:wild[\s\-]?type|wt|unmutated)\b", "wild-type"),
     (r"^[\s\-/](?:lost|loss|deleted|deletion)\b", "loss"),
-    (r"^(?:[\s\-/](?:positive|pos|intact|detected|elevated|rising|increased|expressed|overexpressed|present)\b|\+(?:\W|$))", "positive"),
+    (r"^(?:[\s\-/](?:positive|pos|intact|detected|elevated|rising|increased|expressed|overexpressed|strongly\s+positive|present)\b|\+(?:\W|$))", "positive"),
     (r"^(?:[\s\-/](?:negative|neg|absent|not\s+(?:expressed|detected|present))\b|-(?:\W|$))", "negative"),
     (r"^[\s\-/]high\b", "high"),
     (r"^[\s\-/](?:low|ultra[\s\-]?low)\b", "low"),
@@ -358,8 +359,8 @@ def numbers_long(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
 
 
 # Marker names and operators of written marker expressions.
-EXPR_NAMES = r"CPS|TPS|PD[-\s]?L1|TMB|HER2|ER|PR|Ki[-\s]?67|MSI|KRAS|BRAF|EGFR|ALK"
-EXPR_RE = rf"(?i)\b({EXPR_NAMES})\s*(?:(<=|>=|≤|≥|<|>|=|:)?\s*(\d+(?:\.\d+)?%?)|(\+|positive|negative|mutated|mutant))"
+EXPR_NAMES = r"CPS|TPS|PD[-\s]?L1|PD[-\s]?1|TMB(?:-H)?|HER2|ER|PR|AR|Ki[-\s]?67|MSI(?:-H|-L)?|MSS|dMMR|pMMR|HRD|KRAS|BRAF|EGFR|ALK|ROS1|RET|NTRK|MET|BRCA1?/?2?"
+EXPR_RE = rf"(?i)\b({EXPR_NAMES})(?:\s*(<=|>=|≤|≥|<|>|=|\+|-|positive|negative|mutant|wild[- ]?type)?\s*(\d+(?:\.\d+)?%?)\b|\s*(\+|-|positive|negative|mutant|wild[- ]?type)(?:[\s,;.]|$))"
 
 
 def expression_parse(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -367,10 +368,10 @@ def expression_parse(df: DataFrame, key: str, text: str) -> DataFrame:
     t = F.col(text)
     cols = [F.regexp_extract_all(t, F.lit(EXPR_RE), F.lit(i)).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c"), (4, "d"))]
     rows = df.select(key, F.explode(F.arrays_zip(*cols)).alias("e")).select(key, "e.*")
-    word = F.lower("d")
+    word = F.lower(F.when(F.col("d") != "", F.col("d")).otherwise(F.col("b")))
     op = (
-        F.when(word.isin("+", "positive"), "+").when(word == "negative", "-").when(word != "", "mutant")
-        .when(F.col("b") == "≤", "<=").when(F.col("b") == "≥", ">=").when(F.col("b").isin("", ":"), "=").otherwise(F.col("b"))
+        F.when(word.isin("+", "positive"), "+").when(word.isin("-", "negative"), "-").when(word == "mutant", "mutant").when(word.startswith("wild"), "wt")
+        .when(word == "≤", "<=").when(word == "≥", ">=").when(word == "", "=").otherwise(word)
     )
     return rows.select(key, F.upper("a").alias("name"), op.alias("op"), F.col("c").alias("value")).distinct()
 

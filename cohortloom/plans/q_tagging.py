@@ -198,7 +198,7 @@ def _flags(b):
     "expr_parse",
     f"""WITH z as (select note_id, unnest(list_zip(regexp_extract_all(text, {k.q(t.EXPR_RE)}, 1), regexp_extract_all(text, {k.q(t.EXPR_RE)}, 2), regexp_extract_all(text, {k.q(t.EXPR_RE)}, 3), regexp_extract_all(text, {k.q(t.EXPR_RE)}, 4))) as z from notes),
     e as (select note_id, upper(z[1]) as name, coalesce(z[2], '') as b, coalesce(z[3], '') as value, lower(coalesce(z[4], '')) as d from z)
-    select distinct note_id, name, case when d in ('+', 'positive') then '+' when d = 'negative' then '-' when d <> '' then 'mutant' when b = '≤' then '<=' when b = '≥' then '>=' when b in ('', ':') then '=' else b end as op, value from e""",
+    select distinct note_id, name, case when w in ('+', 'positive') then '+' when w in ('-', 'negative') then '-' when w = 'mutant' then 'mutant' when starts_with(w, 'wild') then 'wt' when w = '≤' then '<=' when w = '≥' then '>=' when w = '' then '=' else w end as op, value from (select *, case when d <> '' then d else lower(b) end as w from e)""",
     "notes",
 )
 def _expr(b):
