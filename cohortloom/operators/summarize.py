@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import parse, rules
 
 
+def by_distinct_value(df: DataFrame, raw: str, rule: Callable[[Column], Column], out: str) -> DataFrame:
+    """``df`` with ``out`` = rule(raw), worked out once for each different raw value and joined back.
+
+    Rule tables try over a hundred spellings on a text; free-text fields repeat the same few values.
+    """
+    values = df.select(F.col(raw).alias("_raw")).where(F.col(raw).isNotNull()).distinct()
+    table = values.select("_raw", rule(F.col("_raw")).alias(out))
+    return df.join(table, df[raw] == table["_raw"], "left").drop("_raw")
+
+
 def build_study_summary(studies: DataFrame) -> DataFrame:
     """B1: one row per study with normalised type and phase, flags and parsed outcomes."""
     c = F.col
-    return studies.select(
+    named = by_distinct_value(studies, "cancer_type", rules.normalize_category, "_category")
+    return named.select(
         "study_id", "document_name", "study_name", "doi", "pmid",
-        rules.normalize_category(c("cancer_type")).alias("cancer_type"),
+        c("_category").alias("cancer_type"),
         c("cancer_type").alias("cancer_type_raw"),
         rules.normalize_phase(c("study_phase")).alias("normalized_phase"),
         c("study_phase").alias("phase_raw"),
@@ -41,17 +54,17 @@ def build_study_summary(studies: DataFrame) -> DataFrame:
 def build_radiation_summary(details: DataFrame, studies: DataFrame) -> DataFrame:
     """B2: treatment details joined to their study; best dose is the first source that parses."""
     c = F.col
-    heads = studies.select(
+    heads = by_distinct_value(studies, "cancer_type", rules.normalize_category, "_category").select(
         "study_id", "document_name", "number_of_patients",
-        rules.normalize_category(c("cancer_type")).alias("cancer_type"),
+        c("_category").alias("cancer_type"),
         rules.normalize_phase(c("study_phase")).alias("normalized_phase"),
     )
     direct = parse.extract_gy(c("total_dose"))
     from_json = parse.extract_gy(parse.json_text(c("additional_details"), "$.total_dose"))
     csi = parse.extract_gy(parse.json_text(c("additional_details"), "$.CSI_dose"))
-    parsed = details.select(
+    parsed = by_distinct_value(details, "technique", rules.normalize_technique, "_technique").select(
         "detail_id", "study_id", c("technique").alias("technique_raw"),
-        rules.normalize_technique(c("technique")).alias("normalized_technique"),
+        c("_technique").alias("normalized_technique"),
         direct.alias("total_dose_gy"),
         parse.extract_gy(c("fractionation")).alias("fraction_dose_gy"),
         F.coalesce(parse.extract_fractions(c("fractionation")), parse.extract_fractions(c("total_dose")))
