@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from cohortloom.llm import automaton, base, contamination, html_text, jaccard, language, lattice, lines, quality_rules, secret_scan, substrings, urls
 from cohortloom.llm.oracles import ORACLES
 from cohortloom.llm.queries import QUERIES
@@ -168,14 +169,14 @@ def test_substrings(spark, window, anchor):
 
 
 def simhash(norm):
-    counts = [0] * 63
+    counts = [0] * 60
     words = ["", *norm.split(" "), None]
     for a, b in itertools.pairwise(words):
         h = xxhash.xxh64(a.encode(), seed=42).intdigest()
         h = h if b is None else xxhash.xxh64(b.encode(), seed=h).intdigest()
-        for k in range(63):
+        for k in range(60):
             counts[k] += h >> k & 1
-    return sum(1 << k for k in range(63) if 2 * counts[k] > len(words) - 1)
+    return sum(1 << k for k in range(60) if 2 * counts[k] > len(words) - 1)
 
 
 def levenshtein(a, b):
@@ -187,11 +188,9 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def test_fuzzy_lines(spark):
-    rng = random.Random(8)
-    seeds = [text(rng, n) for n in (3, 6, 12, 25, 40, 60)]
-    docs = ["\n".join(rng.choice(["", "--", text(rng, 8), edited(rng, s, rng.choice([0, 0, 1, 1, 2])).upper() + rng.choice(["", ".", " !"])]) for s in seeds * 2) for _ in range(30)]
-    norm = [[" ".join(re.findall(r"[0-9a-z]+", x.lower())) for x in d.split("\n")] for d in docs]
+def kept_lines(docs):
+    """What is left of texts given in document order, and how many line pairs are similar."""
+    norm = [[" ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", x.lower())) for x in d.split("\n")] for d in docs]
     distinct = sorted({x for d in norm for x in d if x})
     blocks = []
     for x in distinct:
@@ -203,13 +202,12 @@ def test_fuzzy_lines(spark):
     edges = []
     for i, j in itertools.combinations(range(len(distinct)), 2):
         (sa, a), (sb, b) = blocks[i], blocks[j]
-        if sum(p == q for p, q in zip(a, b, strict=True)) >= 2 and bin(sa ^ sb).count("1") <= 12:
+        if sum(p == q for p, q in zip(a, b, strict=True)) >= 2 and bin(sa ^ sb).count("1") <= lines.MAX_BITS:
             n = max(len(distinct[i]), len(distinct[j]))
             if levenshtein(distinct[i], distinct[j]) <= int(0.1 * n + 1e-9):
                 edges.append((i, j))
     group = dict(zip(distinct, grouped(len(distinct), edges), strict=True))
-    assert len(edges) > 20
-    seen, want = set(), []
+    seen, left = set(), []
     for d, own in zip(docs, norm, strict=True):
         kept = []
         for raw, x in zip(d.split("\n"), own, strict=True):
@@ -217,11 +215,65 @@ def test_fuzzy_lines(spark):
                 kept.append(raw)
             if x:
                 seen.add(group[x])
-        want.append("\n".join(kept))
+        left.append("\n".join(kept))
+    return left, len(edges)
+
+
+def test_fuzzy_lines(spark):
+    rng = random.Random(8)
+    seeds = [text(rng, n) for n in (3, 6, 12, 25, 40, 60)]
+    docs = ["\n".join(rng.choice(["", "--", text(rng, 8), edited(rng, s, rng.choice([0, 0, 1, 1, 2])).upper() + rng.choice(["", ".", " !"])]) for s in seeds * 2) for _ in range(30)]
+    want, n_edges = kept_lines(docs)
+    assert n_edges > 20
     got = {r["doc_id"]: r["text"] for r in lines.line_report(frame(spark, docs)).collect()}
     assert got == dict(enumerate(want))
 
 
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against brute force on what the stage before kept; their decisions take effect."""
+    rng = random.Random(12)
+    real = [r[0] for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE length(text) BETWEEN 300 AND 900 ORDER BY doc_id LIMIT 40").fetchall()]
+    item = " ".join(f"bench{k}" for k in range(20))
+    near = [" ".join(w if rng.random() > 0.01 else f"{w}x" for w in real[k].split(" ")).replace("\n", " \n") for k in range(6)]
+    texts = [*real, *near, real[3], "?! 12", item + " " + real[7][:120], real[8] + "\n" + real[9][:200], ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    at = str(tmp_path)
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+
+    def step(k, df):
+        return base.written(corpus_pipeline.STAGES[k][1](spark, df, at))
+
+    def of(df):
+        return {r["doc_id"]: r["text"] for r in df.collect()}
+
+    known = step(0, spark.read.parquet(f"{at}/documents.parquet"))
+    assert of(known) == {i: t for i, t in enumerate(texts) if re.search("[A-Za-z]", t)}
+    whole = [of(known)[i] for i in sorted(of(known))]
+    left, _ = kept_lines(whole)
+    want = {i: t for i, t, w in zip(sorted(of(known)), left, whole, strict=True) if t == w or re.search(r"[0-9A-Za-z\x80-\U0010ffff]", t)}
+    cut = step(1, known)
+    assert of(cut) == want and {r["n_chars"] == len(r["text"]) for r in cut.collect()} == {True}
+
+    ids = sorted(want)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (want[i].lower().split() for i in ids)]
+    edges = [(a, b) for a, b in itertools.combinations(range(len(ids)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    single = step(2, cut)
+    assert set(of(single)) == {ids[k] for k in set(grouped(len(ids), edges))}
+    grams = {tuple(item.split()[k : k + 13]) for k in range(8)}
+
+    def dirty(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        hit = {p for k in range(len(w) - 12) if tuple(w[k : k + 13]) in grams for p in range(k, k + 13)}
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    clean = step(3, single)
+    assert of(clean) == {i: t for i, t in of(single).items() if not dirty(t)} and len(of(clean)) < len(of(single))
+    last = step(4, clean)
+    assert of(last) == of(clean) and all(r["lossless"] and lattice.decode_ids(r["ids"], lattice.model()) == r["text"] for r in last.collect())
+    assert of(corpus_pipeline.run(spark, at)) == of(last)
+
+
 def test_simhash_of_long_lines(spark):
     norms = [text(random.Random(n), n, 5000) for n in (1, 2, 500, 9000)]
     rows = spark.createDataFrame([(i, i, 0, i, i, t) for i, t in enumerate(norms)], "doc_id long, row_key long, pos int, lid long, lid2 long, norm string")
