@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.base import Words, components, pieces, written
+from cohortloom.llm.base import Words, bit_table, components, in_table, pieces, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -285,7 +285,10 @@ def classes(docs: DataFrame) -> DataFrame:
     members = hoods.select("id", F.col("label").alias("key")).join(sketch.select("id", "signature", "n_words", "n_copies"), "id")
     members = written(members)
     sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n_words") / BLOCK_SHINGLES)).alias("n_blocks"))
-    texts = rows.join(members.select(F.col("id").alias("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"]).select(F.col("row_key").alias("id"), "text")
+    # Most documents have no neighbour: a bit table of fixed size keeps their texts out of the shuffle.
+    wanted = members.select(F.col("id").alias("row_key"))
+    maybe = rows.where(in_table(bit_table(wanted.select(F.col("row_key").alias("key"))), F.col("row_key")))
+    texts = maybe.join(wanted, "row_key", "left_semi").dropDuplicates(["row_key"]).select(F.col("row_key").alias("id"), "text")
     found = _in_blocks(members.select("key", "id", "signature", "n_copies").join(texts, "id"), sizes).mapInPandas(_links, "a long, b long, n long")
     found = written(found)
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
