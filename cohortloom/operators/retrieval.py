@@ -7,7 +7,7 @@ the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,7 @@ from cohortloom.functions.parse import round_half_up
 # Token pattern, BM25 and fusion constants.
 TOKEN = r"[a-z0-9][a-z0-9\-/\.≤≥%]+"
 RRF_K = 60
-# Size of a block of query vectors sent to the tasks, and of a score matrix inside one.
-BLOCK_BYTES = 32 * 1024 * 1024
+# Cells of a score matrix inside a task.
 SCORE_CELLS = 4_000_000
 # Patterns of weighty evidence and the factor each one multiplies in.
 LANDMARKS: list[tuple[str, str, float]] = [
@@ -96,57 +95,43 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def _best_rows(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties by id."""
-    return np.lexsort((ids, -scores))[:k]
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Rows of unit length; zero vectors stay zero."""
+    m = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def knn_cosine(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, block: int = 4096) -> DataFrame:
-    """Exact nearest neighbours by cosine.
+def knn_cosine(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, blocks: int = 1, shards: int | None = None) -> DataFrame:
+    """Exact nearest neighbours by cosine, without the driver.
 
-    Query vectors go out in blocks of at most ``block`` rows; every task multiplies its share of
-    the corpus with the block and keeps ``k`` rows per query, so only k x queries rows per task
-    are shuffled. More queries mean more blocks, never a dropped query.
+    The corpus is dealt to ``shards`` (default: the shuffle partitions), the queries to ``blocks``, both by
+    hash; a task holds one shard and one block, multiplies them, and keeps ``k`` rows a query, with those
+    that tie with the last. So k x queries x shards rows are shuffled for the final order. A caller with
+    more queries than fit beside a shard states more blocks; ids may be of any type.
     """
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query_vector")).alias("dims")).first()
-    block = max(1, min(block, BLOCK_BYTES // (8 * max(1, size["dims"] or 1))))
-    parts = max(1, -(-size["n"] // block))
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    out = None
-    for part in range(parts):
-        rows = numbered.filter(F.col("_block") == part).select("query_id", "query_vector").toPandas()
-        if rows.empty:
-            continue
-        q_ids = rows["query_id"].to_numpy()
-        q = np.array(rows["query_vector"].tolist(), dtype=np.float64)
-        norms = np.linalg.norm(q, axis=1, keepdims=True)
-        q = np.divide(q, norms, out=np.zeros_like(q), where=norms > 0)
-
-        def nearest(frames: Iterator[pd.DataFrame], q=q, q_ids=q_ids) -> Iterator[pd.DataFrame]:
-            kept_ids, kept_scores = [np.empty(0, np.int64)] * len(q_ids), [np.empty(0)] * len(q_ids)
-            for frame in frames:
-                if frame.empty:
-                    continue
-                step = max(k, SCORE_CELLS // len(q_ids))
-                for at in range(0, len(frame), step):
-                    part = frame.iloc[at : at + step]
-                    m = np.array(part[vector].tolist(), dtype=np.float64)
-                    length = np.linalg.norm(m, axis=1, keepdims=True)
-                    m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-                    ids, sims = part[id_col].to_numpy(), q @ m.T
-                    for i in range(len(q_ids)):
-                        all_ids, all_scores = np.concatenate([kept_ids[i], ids]), np.concatenate([kept_scores[i], sims[i]])
-                        best = _best_rows(all_ids, all_scores, k)
-                        kept_ids[i], kept_scores[i] = all_ids[best], all_scores[best]
-            for i, query in enumerate(q_ids):
-                yield pd.DataFrame({"query_id": query, id_col: kept_ids[i], "score_dense": kept_scores[i]})
-
-        query_type = queries.schema["query_id"].dataType.simpleString()
-        local = corpus.select(id_col, vector).mapInPandas(nearest, f"query_id {query_type}, {id_col} bigint, score_dense double")
-        out = local if out is None else out.unionByName(local)
-    if out is None:
-        raise ValueError("knn_cosine needs at least one query")
-    return top_per(out, ["query_id"], [F.desc("score_dense"), F.asc(id_col)], k)
+    shards = shards or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = queries.select("query_id", "query_vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"), every(shards, "_shard"))
+    right = corpus.select(id_col, vector, F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("_shard"), every(blocks, "_block"))
+
+    def nearest(q_rows: pd.DataFrame, c_rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(q_rows) and len(c_rows):
+            q, m, ids = _unit(q_rows["query_vector"]), _unit(c_rows[vector]), c_rows[id_col].to_numpy()
+            step = max(1, SCORE_CELLS // len(ids))
+            for at in range(0, len(q), step):
+                scores = q[at : at + step] @ m.T
+                least = np.partition(scores, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+                row, column = np.nonzero(scores >= least[:, None])
+                parts.append(pd.DataFrame({"query_id": q_rows["query_id"].to_numpy()[at + row], id_col: ids[column], "score_dense": scores[row, column]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], id_col: [], "score_dense": []})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    local = left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInPandas(
+        nearest, f"query_id {kind(queries, 'query_id')}, {id_col} {kind(corpus, id_col)}, score_dense double"
+    )
+    return top_per(local, ["query_id"], [F.desc("score_dense"), F.asc(id_col)], k)
 
 
 def bm25(cands: DataFrame, queries: DataFrame, id_col: str, text: str, pattern: str = TOKEN, k1: float = 1.2, b: float = 0.75, floor: float | None = None) -> DataFrame:
