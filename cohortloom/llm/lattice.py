@@ -288,14 +288,12 @@ def encode(docs: DataFrame, key: str, text: str = "text", path: str = MODEL) ->
 
     def run(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         m = model(path)
-        for keys, texts in frames:
-            parts = []
-            for part in pieces(iter([pd.DataFrame({"key": keys, "text": texts})]), limit=BATCH_CHARS):
-                own = part["text"].tolist()
-                ids = encode_batch(own, mix(part["key"].to_numpy(np.int64).view(np.uint64)), m)
-                same = [x is None if t is None else decode_ids(x.tolist(), m) == t for t, x in zip(own, ids, strict=True)]
-                parts.append(pd.DataFrame({"ids": ids, "n_pieces": [0 if x is None else len(x) for x in ids], "lossless": same}))
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"ids": [], "n_pieces": [], "lossless": []})
+        # Results leave piece by piece, so that a batch's ids never stand in memory together.
+        for part in pieces((pd.DataFrame({"key": keys, "text": texts}) for keys, texts in frames), limit=BATCH_CHARS):
+            own = part["text"].tolist()
+            ids = encode_batch(own, mix(part["key"].to_numpy(np.int64).view(np.uint64)), m)
+            same = [x is None if t is None else decode_ids(x.tolist(), m) == t for t, x in zip(own, ids, strict=True)]
+            yield pd.DataFrame({"ids": ids, "n_pieces": [0 if x is None else len(x) for x in ids], "lossless": same})
 
     keep = [c for c in docs.columns if c not in ("ids", "n_pieces", "lossless")]
     return docs.withColumn("_encoded", F.pandas_udf(run, _ENCODED)(F.col(key), F.col(text))).select(*keep, "_encoded.*")
