@@ -110,18 +110,18 @@ def shards(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
 _FOUND_TYPE = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``found``: the number of words, spans and items of all occurrences.
+def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
+    """All columns of ``docs`` and ``out``: the number of words, spans and items of all occurrences.
 
     Each shard of the benchmark is searched in turn, in the same pass over the documents; a span or item
     of one shard is added to those of the shards before. Documents are not shuffled.
     """
     spark = docs.sparkSession
-    out = docs.withColumn("found", F.lit(None).cast(_FOUND_TYPE))
+    rows = docs.withColumn(out, F.lit(None).cast(_FOUND_TYPE))
     for shard in [*shards(benchmark)] or [[]]:
         search = _searcher(spark.sparkContext.broadcast(Search(shard)))
-        out = out.withColumn("found", F.pandas_udf(search, _FOUND_TYPE)(F.col(text), F.col("found")))
-    return out
+        rows = rows.withColumn(out, F.pandas_udf(search, _FOUND_TYPE)(F.col(text), F.col(out)))
+    return rows
 
 
 def _searcher(tables):
@@ -162,10 +162,9 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    cols = docs.columns
-    rows = occurrences(docs.select(F.struct(*cols).alias("_row"), "text"), benchmark)
-    hit = F.pandas_udf(_hit_words, "long")("found")
-    return rows.withColumn("_hit", hit).where(~((F.col("_hit") > 0) & (20 * F.col("_hit") >= F.col("found.n_words")))).select("_row.*")
+    rows = occurrences(docs, benchmark, out="_contamination")
+    rows = rows.withColumn("_hit_words", F.pandas_udf(_hit_words, "long")("_contamination"))
+    return rows.where(~((F.col("_hit_words") > 0) & (20 * F.col("_hit_words") >= F.col("_contamination.n_words")))).select(*docs.columns)
 
 
 def _hit_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:

@@ -221,20 +221,17 @@ def _labeller(network: Network):
     return run
 
 
-def predict(docs: DataFrame, network: Network | None) -> DataFrame:
-    """All columns of ``docs``, and the predicted language with its pooled probability.
-
-    ``docs`` must have no columns named lang_pred or score.
-    """
+def predict(docs: DataFrame, network: Network | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs``, and as ``lang`` and ``score`` the predicted language with its pooled probability."""
     if network is None:
-        return docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select("*", F.lit(UNKNOWN).alias(lang), F.lit(0.0).alias(score))
     label = F.pandas_udf(_labeller(network), "lang string, score double")
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     out = docs.select("*", label(F.when(has_letter, F.col("text"))).alias("_label"), has_letter.alias("_letter"))
     return out.select(
         *docs.columns,
-        F.when(F.col("_letter"), F.col("_label.lang")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
-        F.when(F.col("_letter"), F.col("_label.score")).otherwise(F.lit(0.0)).alias("score"),
+        F.when(F.col("_letter"), F.col("_label.lang")).otherwise(F.lit(UNKNOWN)).alias(lang),
+        F.when(F.col("_letter"), F.col("_label.score")).otherwise(F.lit(0.0)).alias(score),
     )
 
 
@@ -246,6 +243,5 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 def identified(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
     """The rows whose language is known: not ``und``, and with a pooled probability of ``min_score`` at least."""
-    cols = docs.columns
-    inner = docs.select(F.struct(*cols).alias("_row"), "text")
-    return predict(inner, learn(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("_row.*")
+    judged = predict(docs, learn(docs), "_lang_pred", "_score")
+    return judged.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= min_score)).select(*docs.columns)
