@@ -46,7 +46,11 @@ def site(verdict: str, rule: str) -> Rule:
 
 
 def pattern(verdict: str, name: str, regex: str, *literals: str) -> Rule:
-    """A regular expression over host, line feed and path, with the literal tokens that every match must hold."""
+    """A regular expression over host, line feed and path, with the literal tokens that every match must hold.
+
+    Each literal must stand in the match between characters that are no letters (digits, at most, if it is of letters
+    only): a rule with alternatives is several of these under one name.
+    """
     return Rule(name, "pattern", verdict, regex, tuple(t for x in literals for t in _tokens(x)))
 
 
@@ -60,15 +64,16 @@ SITE_RULES = (
 )
 # The method's own rules, for URLs that no site rule fits.
 PATTERN_RULES = (
-    pattern("block", "pharmacy shop", r"(^|[.-])cheap-?pills([.-]|\n)", "pills"),
+    pattern("block", "pharmacy shop", r"(^|[.-])cheap-pills([.-]|\n)", "cheap", "pills"),
+    pattern("block", "pharmacy shop", r"(^|[.-])cheappills([.-]|\n)", "cheappills"),
     pattern("block", "pharmacy shop, one word", r"(^|[.-])cheappills([.-]|\n)", "cheappills"),
-    pattern("block", "casino", r"(^|[./-])casino[s]?([./-]|\n|$)", "casino"),
+    *(pattern("block", "casino", rf"(^|[./-]){word}([./-]|\n|$)", word) for word in ("casino", "casinos")),
     pattern("block", "adult", r"(^|[./-])xxx([./-]|\n|$)", "xxx"),
     pattern("block", "adult, plain", r"(^|[./-])porn([./-]|\n|$)", "porn"),
-    pattern("block", "advert server", r"^(ads?|adserver|banners?)[0-9]*\.[^\n]*\n", "ads"),
-    pattern("block", "tracker pixel", r"\n(/[^/]*)*/(pixel|beacon)\.gif$", "gif", "pixel"),
+    *(pattern("block", "advert server", rf"^{word}[0-9]*\.[^\n]*\n", word) for word in ("ad", "ads", "adserver", "banner", "banners")),
+    *(pattern("block", "tracker pixel", rf"\n(/[^/]*)*/{word}\.gif$", "gif", word) for word in ("pixel", "beacon")),
     pattern("block", "log-in page", r"\n(/[^/]*)*/(wp-)?login(\.php)?/?$", "login"),
-    pattern("block", "free download", r"(^|[.-])free-downloads?[.-]", "free", "download"),
+    *(pattern("block", "free download", rf"(^|[.-])free-{word}[.-]", "free", word) for word in ("download", "downloads")),
 )
 
 
@@ -81,7 +86,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
 
     The URLs' tokens are counted once over all distinct URLs; each rule is filed under its token of
     least count (ties: the lesser token). Tokens of a URL fetch the rules filed there, and only these
-    run their expressions. A page without candidates keeps ``default``.
+    run their expressions. A page without candidates keeps ``default``. A URL's tokens are its runs of letters and
+    digits and its runs of letters alone, so that ``ads12`` fetches what is filed under ``ads``.
     """
     urls = pages.select("page_id", F.col("url").alias("_u"))
     rest = F.expr("if(instr(_u, '://') > 0, substring(_u, instr(_u, '://') + 3), '')")
@@ -92,7 +98,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     )
     distinct = parts.select("host", "path").distinct()
     ascii_lower = F.expr("translate(concat(host, '\n', path), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
-    tokens = distinct.select("host", "path", F.explode(F.array_distinct(F.split(ascii_lower, "[^a-z0-9]+"))).alias("token")).where("token <> ''")
+    tokens = distinct.select("host", "path", F.explode(F.array_distinct(F.concat(F.split(ascii_lower, "[^a-z0-9]+"), F.split(ascii_lower, "[^a-z]+")))).alias("token")).where("token <> ''")
 
     ruled = rules.select("*", F.explode("tokens").alias("token"))
     counts = tokens.join(F.broadcast(ruled.select("token").distinct()) if _few(rules) else ruled.select("token").distinct(), "token", "left_semi")

@@ -305,6 +305,23 @@ def test_urls(spark):
     assert [got[cases.index(c)]["verdict"] for c in ("http://cheap-pills.example.org/", "http://a.org/casino/", "http://ads.b.org/x", "x")] == ["block"] * 3 + ["allow"]
 
 
+def test_indexed_rules_are_plain_rules(spark):
+    """What the index lets through is what all expressions, tried on every URL, let through."""
+    plain = {"pharmacy shop": r"(^|[.-])cheap-?pills([.-]|\n)", "pharmacy shop, one word": r"(^|[.-])cheappills([.-]|\n)", "casino": r"(^|[./-])casino[s]?([./-]|\n|$)", "adult": r"(^|[./-])xxx([./-]|\n|$)",
+             "adult, plain": r"(^|[./-])porn([./-]|\n|$)", "advert server": r"^(ads?|adserver|banners?)[0-9]*\.[^\n]*\n", "tracker pixel": r"\n(/[^/]*)*/(pixel|beacon)\.gif$",
+             "log-in page": r"\n(/[^/]*)*/(wp-)?login(\.php)?/?$", "free download": r"(^|[.-])free-downloads?[.-]"}
+    hosts = [f"{w}{d}.h.org" for w in ("ad", "ads", "adserver", "banner", "banners", "xad", "cheappills", "cheap-pills", "free-download", "my-free-downloads", "casino", "casinos") for d in ("", "1", "22")]
+    paths = ["/", "/pixel.gif", "/a/beacon.gif", "/beacon.gif/x", "/casinos/", "/casino", "/x-casinos", "/casino1/", "/xxx/", "/porn", "/wp-login.php", "/login/", "/logins"]
+    cases = [h + "/" for h in hosts] + ["h.org" + p for p in paths] + ["h.org/gif", "h.org/a.gif", "h.org/download", "h.org/downloads"]
+    # The rarest token of a rule must not matter.
+    for more in ([], ["i.org/%d.gif"], ["i.org/pixel/%d"], ["i.org/free/%d"], ["i.org/download/%d"]):
+        own = cases + [m % k for m in more for k in range(40)]
+        pages = spark.createDataFrame([(i, "http://" + u) for i, u in enumerate(own)], "page_id long, url string")
+        got = {r["page_id"]: (r["verdict"], r["pattern_rule"]) for r in urls.url_filter(pages, urls.rules_frame(spark, urls.PATTERN_RULES)).collect()}
+        hit = [max((n for n, x in plain.items() if re.search(x, u.replace("/", "\n/", 1))), default=None) for u in own]
+        assert got == {i: ("block" if n else "allow", n) for i, n in enumerate(hit)}
+
+
 def test_network_gradients():
     rng = np.random.default_rng(1)
     net = language.Network(["a", "b", "c"])
