@@ -305,6 +305,30 @@ def test_urls(spark):
     assert [got[cases.index(c)]["verdict"] for c in ("http://cheap-pills.example.org/", "http://a.org/casino/", "http://ads.b.org/x", "x")] == ["block"] * 3 + ["allow"]
 
 
+def test_recall_of_near_lines(spark):
+    """Of pairs of lines of edit similarity 0.9 or more, each pair in a document of its own, 0.9 are found at each length."""
+    rng = random.Random(13)
+
+    def word(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+
+    bodies = {}
+    for size in (12, 20, 30, 50, 80):
+        for _ in range(60):
+            w = [word(rng.randrange(2, 9)) for _ in range(size)]
+            # As many words change as edit similarity 0.9 surely allows.
+            other, left = list(w), len(" ".join(w)) // 10
+            for k in rng.sample(range(size), size):
+                if len(w[k]) <= left:
+                    other[k], left = word(len(w[k])), left - len(w[k])
+            bodies.setdefault(size, []).append(" ".join(w) + "\n" + " ".join(other))
+    order = [(size, b) for size, own in bodies.items() for b in own]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.line_report(frame(spark, [b for _, b in order])).collect()}
+    recall = {size: sum(got[i] for i, (n, _) in enumerate(order) if n == size) / len(own) for size, own in bodies.items()}
+    print(recall)
+    assert min(recall.values()) >= 0.9, recall
+
+
 def test_indexed_rules_are_plain_rules(spark):
     """What the index lets through is what all expressions, tried on every URL, let through."""
     plain = {"pharmacy shop": r"(^|[.-])cheap-?pills([.-]|\n)", "pharmacy shop, one word": r"(^|[.-])cheappills([.-]|\n)", "casino": r"(^|[./-])casino[s]?([./-]|\n|$)", "adult": r"(^|[./-])xxx([./-]|\n|$)",
