@@ -288,6 +288,15 @@ def test_pieces_of_long_lines(spark, monkeypatch):
     assert [r[0] for r in rows.select(lines.similar("a", "b")).collect()] == [True, False, True, False, True]
 
 
+def test_long_lines_with_insertions(spark):
+    """An insertion or deletion near the start shifts all that follows, and counts once."""
+    rng = random.Random(14)
+    a, c = text(rng, 700, 5000)[:3000], text(rng, 5000, 5000)[:24_000]
+    q = "".join(rng.choices("xyz", k=3000))
+    rows = spark.createDataFrame([(a, q[:161] + a), (c, q[:60] + c), (c[80:], c), (c, c[:40] + q[:1500] + c[40:]), (a, q[:340] + a), (c, c[::-1])], "a string, b string")
+    assert [r[0] for r in rows.select(lines.similar("a", "b")).collect()] == [True, True, True, True, False, False]
+
+
 def test_urls(spark):
     cases = ["http://a.com/x", "http://a.com", "http://com/", "http://xcom/", "http://example.com/en/1", "http://www.example.com/en/1", "https://b.www.EXAMPLE.com/en/?q", "http://example.com/EN/1",
              "http://a.net/es/", "http://net/fr/x#y", "http://cheap-pills.example.org/", "http://a.org/casino/", "http://ads.b.org/x", "x", "://", "a://ads.com/"]
