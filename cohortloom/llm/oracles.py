@@ -118,6 +118,40 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_d
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_left >= n_words AS kept, CAST(n_left AS BIGINT) AS n_left FROM m
 """
 
+_TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+MIDDLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') AS ts, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+k AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (len(ts) + 1) AS u, CAST('0x' || h[9:16] AS BIGINT) % (len(ts) + 1) AS v,
+             CAST('0x' || h[17:24] AS BIGINT) % 100 AS w, CAST('0x' || h[25:32] AS BIGINT) % 100 AS z FROM d),
+f AS (SELECT doc_id, text, len(ts) AS n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR w >= 50 THEN 'plain' WHEN z < 80 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(ts[1:least(u, v)], '') AS p, array_to_string(ts[least(u, v) + 1:greatest(u, v)], '') AS m, array_to_string(ts[greatest(u, v) + 1:], '') AS s FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM f
+"""
+
+
+def _assigned(n: int) -> str:
+    """CTEs of round n: the nearest of the centroids c{n} for every vector, and the centroids moved."""
+    return f"""
+n{n} AS MATERIALIZED (SELECT vec_id, arg_min(c, [dist, c]) AS c, min(dist) AS dist FROM (
+  SELECT vec_id, c, list_sum(list_transform(list_zip(v.x, k.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist FROM v, c{n} k) GROUP BY vec_id),
+m{n} AS (SELECT c, i, floor(sum(e) / count(*)) AS e FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(x) AS e FROM n{n} JOIN v USING (vec_id)) GROUP BY c, i),
+c{n + 1} AS MATERIALIZED (SELECT c, coalesce(new, x) AS x FROM c{n} LEFT JOIN (SELECT c, list(CAST(e AS BIGINT) ORDER BY i) AS new FROM m{n} GROUP BY c) USING (c)),"""
+
+
+# Every vec_id of the table stands once in it.
+CENTROIDS = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS c, x FROM v ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) LIMIT 16),
+{_assigned(0)}{_assigned(1)}{_assigned(2)}
+last AS (SELECT vec_id, arg_min(c, [dist, c]) AS c, min(dist) AS dist FROM (
+  SELECT vec_id, c, list_sum(list_transform(list_zip(v.x, k.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist FROM v, c3 k) GROUP BY vec_id)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance, CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(dist) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256 FROM last JOIN c3 USING (c)
+"""
+
 ORACLES = {
     "op2_jaccard_join": JACCARD,
     "op3_benchmark_decontamination": CONTAMINATION,
@@ -125,4 +159,6 @@ ORACLES = {
     "op6_url_filters": URLS,
     "op8_secret_scans": SECRETS,
     "op9_quality_rules": QUALITY,
+    "op11_centroid_clustering": CENTROIDS,
+    "op13_fill_in_middle": MIDDLE,
 }
