@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import centroids, contamination, fill_middle, html_text, jaccard, language, lattice, lines, quality_rules, secret_scan, substrings, urls
+from cohortloom.llm import centroids, contamination, fill_middle, html_text, jaccard, language, lattice, lines, personal, quality_rules, secret_scan, substrings, urls
 from cohortloom.llm.base import table
 from cohortloom.llm.oracles import ORACLES
 
@@ -59,11 +59,15 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_report(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fim_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_html_extraction, op2_jaccard_join, op3_benchmark_decontamination, op4_line_dedup, op5_substring_dedup, op6_url_filters, op7_language_id, op8_secret_scans, op9_quality_rules, op10_sentencepiece,
-    op11_centroid_clustering, op13_fill_in_middle,
+    op11_centroid_clustering, op12_personal_data, op13_fill_in_middle,
 )}
