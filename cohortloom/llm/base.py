@@ -33,7 +33,7 @@ def written(df: DataFrame) -> DataFrame:
     executor costs no recomputation of what stands before."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,6 +20,10 @@ ROWS = documents([
     (6, "another text under the same id", "de", "b"), (7, "same text in two rows", "en", None), (8, "∅ ▁ \x00 é\r\n\u2028 ▁▁  end ", "fr", "c"), (-9, "!!! ... \n\n", "en", "c"),
 ])
 PAGES = [(None, None, None), (1, None, ""), (2, "", "<p>"), (3, "no scheme", None), (3, "no scheme", None), (4, "http://", "</p></div><p>a<b>c"), (5, "HTTP://Ä.COM:80/En?x#y", "<" * 5000), (6, "a://example.com", "<p>" * 3000 + "z")]
+VECTORS = [
+    (None, [0.5] * 64), (1, None), (2, []), (3, [0.25] * 63), (4, [None] + [0.0] * 63), (5, [float("nan")] * 64), (6, [float("inf")] + [0.0] * 63), (7, [2.0**21] + [0.0] * 63),
+    (8, [0.5] * 64), (8, [0.5] * 64), (9, [-0.01] + [0.0] * 63), (10, [2.0**20] + [-(2.0**20)] * 63),
+]
 ITEMS = [(None, "an item without an id is no item"), (1, None), (2, ""), (3, "same text"), (3, "same text"), (4, "words " * 40)]
 
 
@@ -27,12 +31,13 @@ ITEMS = [(None, "an item without an id is no item"), (1, None), (2, ""), (3, "sa
 def folders(spark, tmp_path_factory):
     """sf folders: odd rows, and empty tables, each with extra columns of clashing names."""
     out = {}
-    for name, rows, pages, items in (("odd", ROWS, PAGES, ITEMS), ("none", [], [], [])):
+    for name, rows, pages, items, vectors in (("odd", ROWS, PAGES, ITEMS, VECTORS), ("none", [], [], [], [])):
         at = str(tmp_path_factory.mktemp(name))
         tables = {
             "documents": spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"),
             "pages": spark.createDataFrame(pages, "page_id long, url string, html string"),
             "benchmark": spark.createDataFrame(items, "item_id long, text string"),
+            "embeddings": spark.createDataFrame(vectors, "vec_id long, embedding array<float>"),
         }
         for table, df in tables.items():
             for c in EXTRA:
@@ -51,7 +56,7 @@ def odd(spark, folders):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_odd_rows(odd, name):
     rows = odd[name]
-    assert len(rows) == (len(PAGES) if name in ("op1_html_extraction", "op6_url_filters") else len(ROWS))
+    assert len(rows) == {"op1_html_extraction": len(PAGES), "op6_url_filters": len(PAGES), "op11_centroid_clustering": 5}.get(name, len(ROWS))
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
