@@ -1,13 +1,17 @@
 """Main text of pages: flat text blocks, classified by a decision tree over word counts and link density.
 
 A page is cut into flat blocks at block tags. Each block has its word count, the share of its words inside
-links, the same two of the blocks before and after, and where it stands (in an article or main element; in
-an element whose tag, role, class or id marks it as a menu, footer, notice, advert, form or comment). A
-decision tree, grown here on a small labelled table of blocks, says which blocks are main text.
-
-Defined cases: null or empty html, or a page without main blocks, has an empty text. Broken markup is read
-as far as it goes: a closing tag without its opening tag is ignored, an unclosed element ends with the
-page. Repeated rows are judged alike, each on its own row. Only page_id, url and html are read.
+links, the same two of the blocks before and after, whether it stands in an article or main element, and its mark: 2 in
+an element that is no part of an article by its tag or that holds comments or adverts by its name, 1 in one whose
+role, class or id only names a place of the layout, 0 elsewhere. An article or main element undoes an
+inherited mark of 1. A decision tree, grown here on a small labelled table of blocks, says which blocks are main text:
+under a mark of 1 and outside of articles, words and the neighbours' words and links decide.
+
+Defined cases: null or empty html, an empty table, or a page without main blocks, has an empty text or no rows. Broken
+markup is read as far as it goes: a closing tag without its opening tag is ignored, an unclosed element ends with the
+page, a head with the first tag of the body, and a form control without its end has no content. Pages of any length are
+read whole. Repeated rows are judged alike, each on its own row; equally good splits of the tree go to the
+earlier feature. Only page_id, url and html are read, so no name can clash.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from random import Random
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,45 +32,57 @@ BLOCK_TAGS = frozenset(
 )
 # Elements that close an open one of their own kind, and hold no context of their own.
 FLAT_TAGS = frozenset("p li dt dd tr td th hr h1 h2 h3 h4 h5 h6 caption legend figcaption summary".split())
-# The content of these is not text of the page.
-SKIPPED_TAGS = frozenset("script style noscript template svg math iframe object canvas select option textarea button title head audio video".split())
-RAW_TAGS = frozenset("script style noscript template iframe textarea title".split())
-# Marks of elements that are not main text, by tag and by the words of role, class and id.
+# The content of these is not text of the page: code, controls of forms, embedded documents, and the title, which is not shown in it.
+SKIPPED_TAGS = frozenset("script style template iframe select option textarea button title".split())
+RAW_TAGS = frozenset("script style iframe textarea title".split())
+HEAD_TAGS = frozenset("head base link meta title style script noscript template html".split())
+# Elements that are no part of an article.
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
-ASIDE_WORDS = frozenset(
+# Words of role, class and id: contents that are no part of an article, and places of a layout, which may hold one.
+FOREIGN_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus reply replies respond".split())
+LAYOUT_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination toolbar sidebar sidebars side widget widgets footer foot colophon "
-    "header masthead banner topbar ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr "
+    "header masthead banner topbar cookie cookies consent gdpr "
     "notice notices alert popup modal overlay subscribe subscription newsletter signup login search share sharing social related recommended "
-    "comment comments disqus reply replies respond copyright legal disclaimer complementary contentinfo dialog".split()
+    "copyright legal disclaimer complementary contentinfo dialog".split()
 )
+# Beside these a word says that the element has, lacks or serves something, not what it is.
+BEFORE_FEATURE = frozenset("no not non with without has is hide show use".split())
+AFTER_FEATURE = frozenset("enabled disabled on off open closed visible hidden page layout results result free less".split())
 MAIN_TAGS = frozenset("article main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"\S+")
-FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "in_main", "in_aside")
-
-
-# The header of an article is part of it; any other header is the page's.
-HEADER_WORDS = frozenset("header masthead banner".split())
+FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "in_main", "mark")
+_HEADING = frozenset("header masthead banner".split())
 
 
-def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
+def _mark(tag: str, attributes: str, in_main: bool) -> int:
+    """The mark of an element by itself. The header of an article is part of it; any other header is the page's."""
     if tag in ASIDE_TAGS or (tag == "header" and not in_main):
-        return True
+        return 2
     if tag in ("html", "body"):
-        return False
-    names = " ".join(next(x for x in m.groups(default="") if x or m.lastindex is None) if m.lastindex else "" for m in _NAMES.finditer(attributes))
-    unwanted = ASIDE_WORDS - HEADER_WORDS if in_main else ASIDE_WORDS
-    return any(word in unwanted for word in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
+        return 0
+    mark = 0
+    for name in " ".join(next((x for x in m.groups() if x), "") for m in _NAMES.finditer(attributes)).split():
+        words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+        for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+            if before in BEFORE_FEATURE or after in AFTER_FEATURE:
+                continue
+            if word in FOREIGN_WORDS:
+                mark = 2
+            elif word in LAYOUT_WORDS and not (in_main and word in _HEADING) and tag not in MAIN_TAGS:
+                mark = max(mark, 1)
+    return mark
 
 
 def flat_blocks(page: str | None) -> list[dict]:
-    """The page's blocks in order: text, words, linked words, in_main, in_aside."""
+    """The page's blocks in order: text, words, linked words, in_main, mark."""
     blocks: list[dict] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, in main, in aside
+    stack: list[tuple[str, bool, int]] = []  # open elements: tag, in main, mark
     in_link = 0
 
     def flush() -> None:
@@ -73,9 +90,9 @@ def flat_blocks(page: str | None) -> list[dict]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            _, main, aside = stack[-1] if stack else ("", False, False)
+            _, main, mark = stack[-1] if stack else ("", False, 0)
             n = text.count(" ") + 1
-            blocks.append({"text": text, "words": n, "linked": min(linked, n), "in_main": main, "in_aside": aside})
+            blocks.append({"text": text, "words": n, "linked": min(linked, n), "in_main": main, "mark": mark})
         linked = 0
 
     def say(raw: str) -> None:
@@ -85,18 +102,20 @@ def flat_blocks(page: str | None) -> list[dict]:
         if in_link:
             linked += len(text.split())
 
-    page, at = page or "", 0
+    page, at, in_head = page or "", 0, False
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
             say(page[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not in_head:
             say(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
+        if tag and tag not in HEAD_TAGS or tag == "head":
+            in_head = tag == "head" and not m[1]
         if not tag:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and not in_head:
                 say(m[0][9:].removesuffix("]]>"))
             continue
         closing = bool(m[1])
@@ -105,7 +124,7 @@ def flat_blocks(page: str | None) -> list[dict]:
                 continue
             if tag in RAW_TAGS:
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = end.end() if end else len(page) if tag in ("script", "style") else at
             else:
                 at = _skip(page, at, tag)
             parts.append(" ")
@@ -116,8 +135,8 @@ def flat_blocks(page: str | None) -> list[dict]:
         elif tag in BLOCK_TAGS:
             flush()
             in_link = 0 if tag not in FLAT_TAGS else in_link
-            _, main, aside = stack[-1] if stack else ("", False, False)
-            if tag in FLAT_TAGS and (closing or not _is_aside(tag, m[3], main)):
+            _, main, mark = stack[-1] if stack else ("", False, 0)
+            if tag in FLAT_TAGS and (closing or not _mark(tag, m[3], main)):
                 if closing and any(x[0] == tag for x in stack[-1:]):
                     stack.pop()
                 continue
@@ -128,27 +147,31 @@ def flat_blocks(page: str | None) -> list[dict]:
                 continue
             if tag in FLAT_TAGS and stack and stack[-1][0] == tag:
                 stack.pop()  # a second <p> or <li> closes the first
-            _, main, aside = stack[-1] if stack else ("", False, False)
-            stack.append((tag, main or (tag in MAIN_TAGS and not aside), aside or _is_aside(tag, m[3], main)))
+            _, main, mark = stack[-1] if stack else ("", False, 0)
+            own = _mark(tag, m[3], main)
+            if tag in MAIN_TAGS and not main and mark < 2:
+                stack.append((tag, own < 2, own))
+            else:
+                stack.append((tag, main, max(mark, own)))
     flush()
     return blocks
 
 
 def _skip(page: str, at: int, tag: str) -> int:
-    """End of a skipped element that may hold elements of its own kind."""
+    """End of a skipped element that may hold elements of its own kind; where it has none, nothing is skipped."""
     depth = 1
     for m in re.compile(rf"<(/?){tag}\b[^>]*(?:>|\Z)", re.I).finditer(page, at):
         depth += -1 if m[1] else (0 if m[0].endswith("/>") else 1)
         if not depth:
             return m.end()
-    return len(page)
+    return at
 
 
 def features(blocks: list[dict]) -> list[tuple[float, ...]]:
     """The tree's inputs of each block; beyond the page's ends stands an empty block."""
     own = [(b["words"], b["linked"] / b["words"]) for b in blocks]
     padded = [(0, 0.0), *own, (0, 0.0)]
-    return [(*own[i], *padded[i], *padded[i + 2], float(b["in_main"]), float(b["in_aside"])) for i, b in enumerate(blocks)]
+    return [(*own[i], *padded[i], *padded[i + 2], float(b["in_main"]), float(b["mark"])) for i, b in enumerate(blocks)]
 
 
 # --- the labelled table: pages written for it, one block a line, + for main text and - for the rest
@@ -224,6 +247,42 @@ LABELLED = (
 + <p><a href=/two>Saturday from nine to noon</a></p></main>""",
 )
 
+# More labelled pages, as layouts: each block has its sign, its tags, and how many words it has (a range for s, m, l and a;
+# a number stands for itself). Each layout is filled in DRAWS times; a starred block stands two to four times.
+LENGTHS = {"s": (1, 8), "m": (9, 15), "l": (20, 90), "a": (1, 90)}
+DRAWS, DRAW_SEED = 16, 20240403
+LAYOUTS = (
+    # An article, whatever its blocks' sizes; comments, adverts and marked parts in it are not.
+    """- <nav><a>s</a></nav> | + <article><h1>s</h1> | *+ <p>a</p> | + <p><a>m</a></p> | - <div class=share>m</div> | + <p>l</p> | - <div class=ad>a</div> | *+ <p>a</p> | - <section id=comments><p>a</p> | *- <p>a</p> | - </section></article><footer>a</footer>""",
+    """- <div class=menu><a>s</a></div> | + <main>a | *+ <p>a</p> | - <aside>a</aside> | *+ <li>s</li> | + <p>l</p></main> | - <div class=sidebar>a</div> | - <footer>m</footer>""",
+    """- <div class=sidebar>m</div> | + <div class=search><article>l | *+ <p>a</p> | - </article></div><form>a</form>""",
+    # Prose outside of articles: long blocks, their headings, and short ones between them.
+    """- <p><a>s</a></p> | - <p>s</p> | - <p><a>s</a></p> | + <h1>s</h1> | + <p>l</p> | + <p>s</p> | + <p>l</p> | + <p>m</p> | *+ <p>l</p> | - <p>8</p> | - <p><a>s</a></p>""",
+    """- <div><a>m</a></div> | + <p>l</p> | + <h2>s</h2> | *+ <p>l</p> | - <p>7</p>""",
+    """- <p>s</p> | *- <p>s</p> | - <p><a>m</a></p> | - <p><a>a</a></p> | - <p>9</p>""",
+    # Names of a layout: prose among prose is the article, lone or short blocks are not.
+    """- <div class=banner>s</div> | - <div class=menu><a>s</a></div> | + <div class=widget><h1>s</h1> | + <p>l</p> | *+ <p>l</p> | - </div><div class=footer>s</div> | - <div class=copyright>m</div>""",
+    """- <div class=notice>l</div> | - <div class=menu><a>s</a></div> | - <div class=sidebar>l</div> | - <div class=share>s</div> | - <div class=newsletter>m</div>""",
+    # Parts that are never the article.
+    """- <footer>l | *- <p>l</p> | - </footer><form>a | - <p>l</p></form> | - <div class=comments><p>l</p> | *- <p>a</p> | - </div><div class=sponsor>l</div>""",
+)
+
+
+def drawn_pages() -> list[tuple[str, list[bool]]]:
+    rng, out = Random(DRAW_SEED), []
+    for layout in LAYOUTS * DRAWS:
+        page, signs = [], []
+        for block in layout.split(" | "):
+            times = rng.randint(2, 4) if block.startswith("*") else 1
+            sign, markup = block.lstrip("*").split(" ", 1)
+            for _ in range(times):
+                size = re.compile(r"(?:(?<=>)|^)(\d+|[smla])(?=<|$)")
+                n = size.search(markup)[1]
+                page.append(size.sub("w " * (int(n) if n.isdigit() else rng.randint(*LENGTHS[n])), markup, count=1))
+                signs.append(sign == "+")
+        out.append(("\n".join(page), signs))
+    return out
+
 
 def labelled_rows() -> list[tuple[tuple[float, ...], bool]]:
     """(features, main) of every block of the labelled pages."""
@@ -232,10 +291,12 @@ def labelled_rows() -> list[tuple[tuple[float, ...], bool]]:
         signs = [line[0] == "+" for line in page.splitlines()]
         blocks = flat_blocks("\n".join(line[2:] for line in page.splitlines()))
         rows += list(zip(features(blocks), signs, strict=True))
+    for page, own in drawn_pages():
+        rows += list(zip(features(flat_blocks(page)), own, strict=True))
     return rows
 
 
-def grow(rows: list[tuple[tuple[float, ...], bool]], depth: int = 6, least: int = 1):
+def grow(rows: list[tuple[tuple[float, ...], bool]], depth: int = 8, least: int = 1):
     """A binary tree of (feature, bound, below or equal, above); a leaf is True for main text. Gini impurity."""
     labels = [y for _, y in rows]
     if depth == 0 or len(set(labels)) == 1:
@@ -253,8 +314,7 @@ def grow(rows: list[tuple[tuple[float, ...], bool]], depth: int = 6, least: int
             right = [y for x, y in rows if x[f] > bound]
             if min(len(left), len(right)) >= least:
                 cost = impurity(left) + impurity(right)
-                # Where splits are equally good, the later feature: where a block stands says more than its size.
-                if best is None or cost < best[0] - 1e-9 or (cost < best[0] + 1e-9 and f > best[1]):
+                if best is None or cost < best[0] - 1e-9:
                     best = (cost, f, bound)
     if best is None:
         return sum(labels) * 2 > len(labels)
@@ -270,7 +330,7 @@ def as_column(tree, feature: list[Column]) -> Column:
     return F.when(feature[f] <= bound, as_column(below, feature)).otherwise(as_column(above, feature))
 
 
-_BLOCKS = "array<struct<text:string,words:int,linked:int,in_main:boolean,in_aside:boolean>>"
+_BLOCKS = "array<struct<text:string,words:int,linked:int,in_main:boolean,mark:int>>"
 
 
 def _cut(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -294,7 +354,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     def is_main(block: Column, i: Column) -> Column:
         before, after = F.get("blocks", i - 1), F.get("blocks", i + 1)
         near = [of(b, name) for b in (block, before, after) for name in ("words", "links")]
-        return as_column(tree, [*near, block["in_main"].cast("int"), block["in_aside"].cast("int")])
+        return as_column(tree, [*near, block["in_main"].cast("int"), block["mark"]])
 
     kept = F.transform(F.filter("blocks", is_main), lambda b: b["text"])
     text = F.array_join(kept, "\n\n")

@@ -3,9 +3,11 @@
 Normalised lines are hashed; for each host and line the distinct documents are counted; lines above the
 limit are removed, and documents that keep too few of their words are rejected.
 
-Defined cases: a null or empty text has no words, fails the base rule and is not kept. A null host is one
-host of its own. Exact copies of a text count once for the frequency of their lines, so copies alone make
-no line frequent. Repeated rows are judged alike, each on its own row. Other columns are not read.
+Defined cases: a null or empty text has no words, fails the base rule and is not kept. A null host is the
+host of the empty name. Documents are told apart by doc_id, so the lines of many exact copies are frequent; rows of one
+doc_id count as one document, and rows without one as a document for each different text. Texts of any length are
+measured whole. Repeated rows are judged alike, each on its own row; an empty table gives an empty table. Other
+columns are not read, so no name can clash.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ MAX_DOCS_PER_HOST = 20
 MIN_SHARE_LEFT = 0.5
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
-_STATS = "row_key long, text_key long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<hash:long,words:int>>"
+_STATS = "row_key long, doc_key long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<hash:long,words:int>>"
 
 
 def normal_line(line: str) -> bytes:
@@ -68,7 +70,7 @@ def _measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             dups.append(len(own) - len(set(own)))
             normal = [(x, x.count(b" ") + 1) for x in map(normal_line, own)]
             lines.append([{"hash": int.from_bytes(blake2b(x, digest_size=8).digest(), "big", signed=True), "words": n} for x, n in normal])
-        yield part[["row_key", "text_key", "doc_id", "host"]].assign(
+        yield part[["row_key", "doc_key", "doc_id", "host"]].assign(
             n_words=words.count, word_chars=of_text.astype(np.int64), n_symbols=symbols, n_dup_lines=dups, n_repeat_words=repeated_words(words), lines=lines
         )
 
@@ -76,7 +78,7 @@ def _measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def document_stats(docs: DataFrame) -> DataFrame:
     """The statistics of every row of (doc_id, text, source), with its normalised lines, as a written table."""
     rows = docs.select("doc_id", "text", F.col("source").alias("host"))
-    keyed = rows.select("*", F.xxhash64("doc_id", "host", "text").alias("row_key"), F.xxhash64("text").alias("text_key"))
+    keyed = rows.select("*", F.xxhash64("doc_id", "host", "text").alias("row_key"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.coalesce("text", F.lit(""))))).alias("doc_key"))
     return written(keyed.mapInPandas(_measure, _STATS))
 
 
@@ -84,9 +86,9 @@ def quality_report(docs: DataFrame, max_docs: int = MAX_DOCS_PER_HOST, min_share
     """Base statistics, base verdict, words left after the removal of frequent lines, and the verdict."""
     stats = document_stats(docs)
     # Repeated rows have the same key: their lines count once.
-    lines = stats.groupBy("row_key").agg(F.first("text_key").alias("text_key"), F.first(F.coalesce("host", F.lit(""))).alias("host"), F.first("lines").alias("lines"))
-    lines = lines.select("row_key", "text_key", "host", F.explode("lines").alias("line")).select("row_key", "text_key", "host", "line.*")
-    frequent = lines.select("host", "hash", "text_key").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
+    lines = stats.groupBy("row_key").agg(F.first("doc_key").alias("doc_key"), F.first(F.coalesce("host", F.lit(""))).alias("host"), F.first("lines").alias("lines"))
+    lines = lines.select("row_key", "doc_key", "host", F.explode("lines").alias("line")).select("row_key", "doc_key", "host", "line.*")
+    frequent = lines.select("host", "hash", "doc_key").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
     removed = lines.join(frequent, ["host", "hash"]).groupBy("row_key").agg(F.sum("words").alias("n_removed"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = stats.drop("lines").join(removed, "row_key", "left").withColumn("n_left", F.col("n_words") - F.coalesce("n_removed", F.lit(0)))

@@ -464,6 +464,16 @@ def test_quality(spark):
         assert (r["base_failed"], r["n_left"], r["kept"]) == (failed, left, not failed and left >= 0.5 * len(w))
 
 
+def test_lines_of_many_copies_are_frequent(spark):
+    """Documents are counted, not texts: 40 exact copies make their lines frequent, 20 do not; repeated rows count once."""
+    rng = random.Random(11)
+    many, few = ("\n".join(text(rng, 30) for _ in range(3)) for _ in range(2))
+    rows = [(i, many, "h") for i in range(40)] + [(100 + i, few, "h") for i in range(20)] + [(100, few, "h")] * 30 + [(200, few, "other")]
+    got = quality_rules.quality_report(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert {(r["doc_id"] < 40, r["n_left"], r["kept"]) for r in got} == {(True, 0, False), (False, 90, True)}
+    assert len(got) == len(rows)
+
+
 @pytest.fixture(scope="module")
 def pieces_model():
     return lattice.model()
@@ -525,3 +535,45 @@ def test_html_of_the_given_pages(spark):
         body = re.search(r"<article>(.*)</article>", page, re.S)[1]
         parts = [" ".join(html_text.entities.unescape(re.sub("</?b>", "", x.replace("<br>", " "))).split()) for x in re.split("</?p>|</?h1>", body)]
         assert got[page_id] == "\n\n".join(x for x in parts if x)
+
+
+PROSE = "The water stood at its lowest mark for ten years on Monday, the board said in its weekly report to the council of the town, and rain is not due."
+WRAPPERS = (
+    '<div class="with-sidebar"><article>{}</article></div>', '<div id=content class="layout no-sidebar"><main>{}</main></div>', '<article class="post share-enabled">{}</article>',
+    '<div class="search-page"><article>{}</article></div>', '<div class="entry has-alert">{}</div>', '<div class="sidebar"><article>{}</article></div>',
+    '<html><head><title>x</title><body>{}', '<html><head><title>x</title><meta charset=utf-8><article>{}</article>', "<article>{}<textarea></article>", "<article>{}<select></article>",
+    '<div class="search">{}</div>', "{}", '<nav><a href=/>Home</a></nav><div class="widget">{}</div><footer>' + PROSE + "</footer>",
+)
+
+
+def test_wrappers_do_not_hide_articles(spark):
+    body = f"<p>{PROSE}</p><p>{PROSE} It was so.</p><p>{PROSE}</p>"
+    pages = [(i, "u", w.format(body)) for i, w in enumerate(WRAPPERS)]
+    pages.append((len(pages), "u", "<article><p>Let <math><mi>x</mi></math> be a <noscript>whole</noscript> number.</p><section id=comments><article><p>" + PROSE + "</p></article></section></article>"))
+    pages.append((len(pages), "u", f"<article><p>Short.</p></article><div class=ad>{PROSE}</div><div class=comments><p>{PROSE}</p><p>{PROSE}</p></div>"))
+    pages.append((len(pages), "u", f"<p>{PROSE}</p><p>It fell.</p><p>{PROSE}</p><p>{PROSE}</p><p>Copyright 2001 The Board. All rights reserved.</p><p><a href=/t>Terms</a></p>"))
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = "\n\n".join((PROSE, PROSE + " It was so.", PROSE))
+    assert [got[i] for i in range(len(WRAPPERS))] == [want] * len(WRAPPERS)
+    rest = [got[i] for i in range(len(WRAPPERS), len(pages))]
+    assert rest == ["Let x be a whole number.", "Short.", "\n\n".join((PROSE, "It fell.", PROSE, PROSE))]
+
+
+def test_words_and_neighbours_decide():
+    tree, rows = html_text.grow(html_text.labelled_rows()), html_text.labelled_rows()
+
+    def used(t):
+        return set() if isinstance(t, bool) else {html_text.FEATURES[t[0]]} | used(t[2]) | used(t[3])
+
+    def judge(x, t=tree):
+        while not isinstance(t, bool):
+            t = t[2] if x[t[0]] <= t[1] else t[3]
+        return t
+
+    assert {"words", "links", "before_words", "after_words", "in_main", "mark"} <= used(tree)
+    rng = random.Random(1)
+    for first, last in ((0, 2), (2, 6)):  # the block's own words and links, then its neighbours'
+        mixed = [x[first:last] for x, _ in rows]
+        rng.shuffle(mixed)
+        wrong = sum(judge((*x[:first], *m, *x[last:])) != y for (x, y), m in zip(rows, mixed, strict=True))
+        assert wrong > 0.03 * len(rows), (first, wrong, len(rows))
