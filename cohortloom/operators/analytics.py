@@ -63,7 +63,8 @@ def aggregate_metric(
     group_by: str,
     agg: str = "avg",
     filters: Mapping[str, object] | None = None,
-    limit: int = 20,
+    *,
+    limit: int,
     min_support: int = 2,
     metrics: frozenset[str] = METRICS,
     groups: frozenset[str] = GROUPS,
@@ -103,7 +104,7 @@ def histogram(df: DataFrame, column: str, width: float = 5.0, unit: str = "Gy")
     )
 
 
-def top_frequency(df: DataFrame, column: str, limit: int = 15) -> DataFrame:
+def top_frequency(df: DataFrame, column: str, limit: int) -> DataFrame:
     """Most frequent values; ties by value so that the cut is stable."""
     return (
         df.filter(F.col(column).isNotNull())
@@ -141,7 +142,7 @@ def facet_values(df: DataFrame, column: str, min_support: int = 1) -> DataFrame:
     )
 
 
-def facet_counts(df: DataFrame, column: str, search: str | None = None, limit: int = 50) -> DataFrame:
+def facet_counts(df: DataFrame, column: str, search: str | None, limit: int) -> DataFrame:
     """Non-empty values that hold the search text, most frequent first, then by value."""
     kept = df.filter(F.col(column).isNotNull() & (F.col(column) != ""))
     if search:
@@ -178,19 +179,19 @@ def meta_fixed_effect(df: DataFrame, group: str, hr: str = "hr", lo: str = "ci_l
     )
 
 
-def rate_forest(summary: DataFrame, outcome: str = "os", limit: int = 30) -> DataFrame:
+def rate_forest(summary: DataFrame, outcome: str, limit: int) -> DataFrame:
     """The studies with the highest rate and the plain mean over the rates shown."""
     rate, median = F.col(f"{outcome}_rate_percent"), F.col(f"{outcome}_median_months")
     shown = (
         summary.filter(rate.isNotNull() | median.isNotNull())
         .select(
             "study_id",
-            F.substring(F.coalesce("study_name", "document_name", F.lit("Unknown")), 1, 50).alias("label"),
+            F.coalesce("study_name", "document_name", F.lit("Unknown")).alias("label"),
             rate.alias("rate"),
             median.alias("median_months"),
             F.coalesce("number_of_patients", F.lit(0)).alias("n"),
             F.col("normalized_phase").alias("phase"),
-            F.substring(F.coalesce(f"{outcome}_raw", F.lit("")), 1, 80).alias("raw"),
+            F.coalesce(f"{outcome}_raw", F.lit("")).alias("raw"),
         )
         .orderBy(F.col("rate").desc_nulls_last(), F.asc("study_id"))
         .limit(limit)

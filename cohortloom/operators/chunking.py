@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from cohortloom.functions.binding import let
 from cohortloom.operators.filters import count_contained, skip_section
 
-# Packing size in tokens, overview length, character windows.
+# Packing size in tokens, least overview length, character windows.
 MAX_TOKENS = 600
-OVERVIEW_CHARS = 20_000
 MIN_OVERVIEW_CHARS = 100
 CHILD_WINDOW = (1200, 150)
 FALLBACK_WINDOW = (1800, 200)
@@ -114,17 +113,25 @@ def text_clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s{3,}", "\n\n"))
 
 
-def overview_chunk(docs: DataFrame, key: str, sections: str) -> DataFrame:
-    """Headed content sections up to the overview length, and whether the first is an abstract."""
+def overview_chunk(docs: DataFrame, key: str, sections: str, max_chars: int | None = None, head_chars: int | None = None) -> DataFrame:
+    """The headed content sections, and whether the first is an abstract.
+
+    ``max_chars`` ends the overview there, ``head_chars`` limits what is judged of a section; by default all counts.
+    """
+
+    def judged(text: Column) -> Column:
+        return F.substring(text, 1, head_chars) if head_chars else text
+
     content = F.filter(
         sections,
-        lambda s: (F.trim(s["content"]) != "") & ~skip_section(s["name"], s["content"])
-        & let(F.lower(F.substring(s["content"], 1, 300)), lambda head: count_contained(head, AUTHOR_SIGNALS) < 3),
+        lambda s: (F.trim(s["content"]) != "") & ~skip_section(s["name"], s["content"], head_chars)
+        & let(F.lower(judged(s["content"])), lambda head: count_contained(head, AUTHOR_SIGNALS) < 3),
     )
     docs, kept = docs.select(key, content.alias("kept")), F.col("kept")
     headed = F.transform(kept, lambda s: F.concat(F.lit("## "), F.trim(F.regexp_replace(F.trim(s["name"]), "^#+", "")), F.lit("\n\n"), F.trim(s["content"])))
-    overview = F.trim(F.substring(F.array_join(headed, "\n\n"), 1, OVERVIEW_CHARS))
-    first = F.lower(F.substring(F.get(kept, F.lit(0))["content"], 1, 500))
+    joined = F.array_join(headed, "\n\n")
+    overview = F.trim(F.substring(joined, 1, max_chars) if max_chars else joined)
+    first = F.lower(judged(F.get(kept, F.lit(0))["content"]))
     rows = docs.select(
         key, F.size(kept).alias("sections_used"), overview.alias("overview"),
         F.coalesce(count_contained(first, ABSTRACT_SIGNALS) >= 2, F.lit(False)).alias("first_is_abstract"),
@@ -185,58 +192,52 @@ def doc_level_inherit(chunks: DataFrame, doc: str, is_overview: Column, order: C
 
 
 def section_align(docs: DataFrame, key: str, chunks: str, sections: str) -> DataFrame:
-    """Best section per chunk by name, shingle or sentence containment; below 50 points none.
+    """Best section per chunk by name, shared 5-word shingles or whole containment; below 50 points none.
 
-    ``chunks`` is array<string>, ``sections`` array<struct<name, content>> of the same document.
+    ``chunks`` is array<string>, ``sections`` array<struct<name, content>> of the same document. Whole texts are
+    compared: shingles are hashed once per text, and two texts meet in one hashed intersection.
     """
 
     def clean(t: Column) -> Column:
         low = F.regexp_replace(F.lower(t), r"\$[^$]*\$|\\[a-zA-Z]+\{[^}]*\}|\\[a-zA-Z]+|#{1,6}\s*|<[^>]+>|\[\^?\d+\]", "")
         return F.regexp_replace(F.trim(F.regexp_replace(low, r"\s+", " ")), "[^a-z0-9 ]", "")
 
-    def shingles(head: Column) -> Column:
-        none = F.array().cast("array<string>")
+    def shingles(body: Column) -> Column:
+        none = F.array().cast("array<bigint>")
 
         def grams(words: Column) -> Column:
-            last = F.least(F.size(words) - 4, F.lit(10))
-            made = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 5), " "))
-            return F.when((last >= 1) & (F.length(head) >= 20), made).otherwise(none)
+            made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 5)))
+            return F.when((F.size(words) >= 5) & (F.length(body) >= 20), F.array_distinct(made)).otherwise(none)
 
-        return let(F.filter(F.split(head, " "), lambda w: w != ""), grams)
+        return let(F.filter(F.split(body, " "), lambda w: w != ""), grams)
 
     cleaned = docs.select(
         key,
-        F.transform(chunks, lambda c: clean(F.substring(c, 1, 800))).alias("chunk_clean"),
-        F.transform(
-            sections,
-            lambda s: F.struct(s["name"].alias("name"), clean(s["name"]).alias("name_clean"), clean(F.substring(s["content"], 1, 400)).alias("head")),
-        ).alias("secs"),
+        F.transform(chunks, clean).alias("chunk_clean"),
+        F.transform(sections, lambda s: F.struct(s["name"].alias("name"), clean(s["name"]).alias("name_clean"), clean(s["content"]).alias("body"))).alias("secs"),
     )
+    numbered = F.transform("chunk_clean", lambda c, i: F.struct(i.alias("i"), c.alias("c"), shingles(c).alias("grams")))
     prepared = cleaned.select(
         key,
-        "chunk_clean",
-        F.transform("secs", lambda s: F.struct(s["name"], s["name_clean"], s["head"], shingles(s["head"]).alias("grams"))).alias("secs"),
+        F.filter(numbered, lambda e: F.length(e["c"]) >= 20).alias("own"),
+        F.transform("secs", lambda s: F.struct(s["name"], s["name_clean"], s["body"], shingles(s["body"]).alias("grams"))).alias("secs"),
     )
 
     def score(chunk: Column, s: Column) -> Column:
-        found = F.size(F.filter(s["grams"], lambda g: chunk.contains(g)))
-        by_name = F.when((F.length(s["name_clean"]) >= 4) & chunk.contains(s["name_clean"]), 100 + F.length(s["name_clean"])).otherwise(0)
-        by_shingle = F.when(found >= 2, 50 + found * 10).otherwise(0)
-        by_text = F.when((F.length(s["head"]) >= 30) & chunk.contains(s["head"]), 80 + F.length(s["head"])).otherwise(0)
+        by_name = F.when((F.length(s["name_clean"]) >= 4) & chunk["c"].contains(s["name_clean"]), 100 + F.length(s["name_clean"])).otherwise(0)
+        by_shingle = let(F.size(F.array_intersect(chunk["grams"], s["grams"])), lambda found: F.when(found >= 2, 50 + found * 10).otherwise(0))
+        by_text = F.when((F.length(s["body"]) >= 30) & chunk["c"].contains(s["body"]), 80 + F.length(s["body"])).otherwise(0)
         return F.greatest(by_name, by_shingle, by_text)
 
     def align(secs: Column) -> Column:
-        numbered = F.transform("chunk_clean", lambda c, i: F.struct(i.alias("i"), c.alias("c")))
         return F.transform(
-            F.filter(numbered, lambda e: F.length(e["c"]) >= 20),
+            "own",
             lambda e: F.struct(
                 e["i"].alias("chunk_idx"),
-                F.array_max(F.transform(secs, lambda s, j: F.struct(score(e["c"], s).alias("score"), (-j).alias("ord"), s["name"].alias("name")))).alias("m"),
+                F.array_max(F.transform(secs, lambda s, j: F.struct(score(e, s).alias("score"), (-j).alias("ord"), s["name"].alias("name")))).alias("m"),
             ),
         )
 
     best = let(F.col("secs"), align)
-    rows = prepared.select(key, F.explode(best).alias("b")).select(
-        key, "b.chunk_idx", F.col("b.m.score").alias("score"), F.col("b.m.name").alias("section")
-    )
+    rows = prepared.select(key, F.explode(best).alias("b")).select(key, "b.chunk_idx", F.col("b.m.score").alias("score"), F.col("b.m.name").alias("section"))
     return rows.filter(F.col("score") >= 50)

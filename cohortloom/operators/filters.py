@@ -110,7 +110,7 @@ def keyword_any_filter(df: DataFrame, txt: Column, groups: Sequence[str]) -> Dat
     return df.filter(any_contains(F.lower(txt), words))
 
 
-def profile_search(df: DataFrame, axes: Mapping[str, tuple[Sequence[str], Sequence[str]]], limit: int = 20) -> DataFrame:
+def profile_search(df: DataFrame, axes: Mapping[str, tuple[Sequence[str], Sequence[str]]], limit: int) -> DataFrame:
     """OR over terms and columns inside an axis, AND across axes; no criteria, no rows."""
     wanted = {k: v for k, v in axes.items() if v[1]}
     if not wanted:
@@ -141,13 +141,14 @@ def must_not(df: DataFrame, column: str, negated: Sequence[str]) -> DataFrame:
     return df.filter(~F.arrays_overlap(F.coalesce(column, F.array().cast("array<string>")), F.array(*map(F.lit, negated))))
 
 
-def skip_section(name: Column, text: Column) -> Column:
-    """References, back matter and affiliation lists."""
+def skip_section(name: Column, text: Column, head_chars: int | None = None) -> Column:
+    """References, back matter and affiliation lists; ``head_chars`` limits the text that is judged."""
+    judged = F.substring(text, 1, head_chars) if head_chars else text
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[#*_\-\d.]+", " "), r"\s+", " "))
-    start = F.trim(F.substring(text, 1, 300))
+    start = F.trim(judged)
     numbered = start.rlike(r"^\d+\.\s+[A-Z]") & (F.regexp_count(start, F.lit(r"\n\s*\d+\.\s+")) >= 3)
     affiliations = let(
-        F.lower(F.substring(text, 1, 500)),
+        F.lower(judged),
         lambda head: (count_contained(head, AFFILIATION_WORDS) >= 3) & (count_contained(head, CONTENT_WORDS) <= 1),
     )
     backmatter = "|".join(p for p, kind in SECTION_PATTERNS if kind in BACK_MATTER)

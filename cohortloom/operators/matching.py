@@ -441,7 +441,6 @@ QUERY_SYNONYMS: dict[str, list[str]] = {
     "metastases": ["metastatic disease", "stage IV"],
     "melanoma": ["cutaneous melanoma"],
 }
-MAX_EXPANSION_CHARS = 12_000
 
 
 def range_expand(kind: str, value: Column) -> Column:
@@ -470,15 +469,15 @@ def range_expand(kind: str, value: Column) -> Column:
     raise ValueError("kind must be ecog, cps or age")
 
 
-def query_expand(text: Column, extra: Column) -> Column:
-    """The query followed by sorted distinct new terms, at most the allowed length."""
+def query_expand(text: Column, extra: Column, max_terms: int | None = None) -> Column:
+    """The query followed by sorted distinct new terms, the first ``max_terms`` if given."""
     low = F.lower(text)
     groups = [
         F.when(low.contains(trigger), F.array(*map(F.lit, terms))).otherwise(F.array().cast("array<string>")) for trigger, terms in QUERY_SYNONYMS.items()
     ]
     added = F.array_sort(F.array_distinct(F.filter(F.concat(*groups, extra), lambda t: ~low.contains(F.lower(t)))))
-    tail = F.substring(F.array_join(added, " "), 1, MAX_EXPANSION_CHARS)
-    return F.when(F.size(added) > 0, F.concat(text, F.lit(" "), tail)).otherwise(text)
+    added = F.slice(added, 1, max_terms) if max_terms else added
+    return F.when(F.size(added) > 0, F.concat(text, F.lit(" "), F.array_join(added, " "))).otherwise(text)
 
 
 def threshold_status(marker: Column) -> Column:
@@ -537,11 +536,12 @@ AXIS_WORDS = [
 ]
 
 
-def vocab_expand(text: Column, max_terms: int = 24) -> Column:
-    """Clinical terms of the everyday phrases in a text, those already present left out."""
+def vocab_expand(text: Column, max_terms: int | None = None) -> Column:
+    """Clinical terms of the everyday phrases in a text, those already present left out; the first ``max_terms`` if given."""
     low = F.lower(text)
     groups = [F.when(text.rlike(p), F.array(*map(F.lit, terms))).otherwise(F.array().cast("array<string>")) for p, terms in LAY_TERMS]
-    return F.slice(F.array_distinct(F.filter(F.concat(*groups), lambda t: ~low.contains(F.lower(t)))), 1, max_terms)
+    terms = F.array_distinct(F.filter(F.concat(*groups), lambda t: ~low.contains(F.lower(t))))
+    return F.slice(terms, 1, max_terms) if max_terms else terms
 
 
 def missing_axes(text: Column) -> Column:

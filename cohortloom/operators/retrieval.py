@@ -7,7 +7,7 @@ the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -354,35 +354,66 @@ def lane_caps(pool: DataFrame, text: str, max_trial: int, max_guideline: int) ->
     return pool.join(kept, ["query_id", "doc_id"]).withColumn("out_pos", order)
 
 
+LANES = ("frame", "both", "structured", "vector")
+# Rows of a query that the first fold takes; queries they do not settle are folded as a stream.
+FOLD_ROWS = 64
+
+
 def lane_merge(pool: DataFrame, max_studies: int, reserved: int = 2) -> DataFrame:
     """Reserved places per lane, the vector lane fills up; documents, titles and trial numbers once.
 
-    Meant for pools: the caller states how many rows a query has (``candidate_pool``), as the lanes of a
-    query lie in one array, and a fold keeps the first row of every key.
+    Rows of all ranks take part. A row with the keys of an earlier one never comes in, so each set of keys stays once,
+    by an aggregate. The first FOLD_ROWS of these settle nearly every query in one array fold; the others are
+    sorted and folded row by row, with the keys of the rows kept as the only state.
     """
     lane_rank = F.when(F.col("lane") == "frame", 0).when(F.col("lane") == "both", 1).when(F.col("lane") == "structured", 2).otherwise(3)
     w = Window.partitionBy("query_id", "lane").orderBy("pos")
-    picked = pool.withColumn("_r", F.row_number().over(w)).withColumn("_l", lane_rank).filter((F.col("_l") == 3) | (F.col("_r") <= reserved))
+    reserved_rows = pool.filter(F.col("lane") != "vector").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= reserved).drop("_r")
+    picked = reserved_rows.unionByName(pool.filter(F.col("lane") == "vector")).withColumn("_l", lane_rank)
     keys = F.array_compact(F.array(
         F.concat(F.lit("d|"), F.col("doc_id").cast("string")),
         F.concat(F.lit("f|"), F.lower(F.trim("title")), F.lit("|"), F.coalesce(F.col("year").cast("string"), F.lit("0"))),
         F.concat(F.lit("n|"), F.upper("trial_no")),
     ))
-    items = picked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_l", "pos", "doc_id", keys.alias("keys")))).alias("items"))
+    firsts = picked.groupBy("query_id", keys.alias("keys")).agg(F.min(F.struct("_l", "pos", F.col("doc_id").cast("bigint").alias("doc_id"))).alias("s"))
+    rows = firsts.select("query_id", "s.*", "keys")
+    head = top_per(rows, ["query_id"], [F.asc("_l"), F.asc("pos")], FOLD_ROWS, "_n")
+    items = head.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_l", "pos", "doc_id", "keys"))).alias("items"))
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<struct<l:int,doc_id:bigint>>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = ~F.arrays_overlap(acc["seen"], x["keys"])
-        item = F.array(F.struct(x["_l"].alias("l"), x["doc_id"].cast("bigint").alias("doc_id")))
+        item = F.array(F.struct(x["_l"].alias("l"), x["doc_id"].alias("doc_id")))
         return F.when(
             fresh, F.struct(F.concat(acc["seen"], x["keys"]).alias("seen"), F.concat(acc["kept"], item).alias("kept"))
         ).otherwise(acc)
 
-    merged = items.select("query_id", F.aggregate("items", start, step, lambda a: a["kept"]).alias("kept"))
-    return merged.select("query_id", F.posexplode(F.slice("kept", 1, max_studies)).alias("rank", "s")).select(
-        "query_id", (F.col("rank") + 1).alias("rank"), F.col("s.doc_id").alias("doc_id"),
-        F.element_at(F.array(*map(F.lit, ["frame", "both", "structured", "vector"])), F.col("s.l") + 1).alias("lane"),
-    )
+    folded = items.select("query_id", F.aggregate("items", start, step, lambda a: a["kept"]).alias("kept"), F.size("items").alias("_n"))
+    open_ = (F.col("_n") == FOLD_ROWS) & (F.size("kept") < max_studies)
+    done = folded.filter(~open_).select("query_id", F.posexplode(F.slice("kept", 1, max_studies)).alias("rank", "s"))
+    done = done.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("s.doc_id").alias("doc_id"), F.col("s.l").alias("_l"))
+    rest = rows.join(folded.filter(open_).select("query_id"), "query_id").repartition("query_id").sortWithinPartitions("query_id", "_l", "pos", "doc_id")
+    merged = done.unionByName(rest.select("query_id", "_l", "doc_id", "keys").mapInPandas(_merge_stream(max_studies), done.schema))
+    return merged.select("query_id", "rank", "doc_id", F.element_at(F.array(*map(F.lit, LANES)), F.col("_l") + 1).alias("lane"))
+
+
+def _merge_stream(max_studies: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Folds rows that come sorted by query and place; keeps the first ``max_studies`` rows without a key seen before."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query, seen, rank = object(), set(), 0
+        for frame in frames:
+            out = []
+            for q, lane, doc_id, keys in zip(frame["query_id"], frame["_l"], frame["doc_id"], frame["keys"]):
+                if q != query:
+                    query, seen, rank = q, set(), 0
+                if rank < max_studies and seen.isdisjoint(keys):
+                    seen.update(keys)
+                    rank += 1
+                    out.append((q, rank, doc_id, lane))
+            yield pd.DataFrame(out, columns=["query_id", "rank", "doc_id", "_l"])
+
+    return fold
 
 
 def interleave(pool: DataFrame, text: str, min_groups: int = 2) -> DataFrame:

@@ -35,7 +35,7 @@ for _name, _metric, _group, _agg, _filters, _expr, _where in [
         where {_metric} is not null and {_group} is not null {_where} group by 1 having count(*) >= 2
         order by val desc, grp limit 20""",
         "studies",
-    )(lambda b, m=_metric, g=_group, a=_agg, f=_filters: analytics.aggregate_metric(_summary(b), m, g, a, f))
+    )(lambda b, m=_metric, g=_group, a=_agg, f=_filters: analytics.aggregate_metric(_summary(b), m, g, a, f, limit=20))
 
 
 @query(
@@ -73,7 +73,7 @@ def _histogram(b):
     "studies details",
 )
 def _top_frequency(b):
-    return analytics.top_frequency(_radiation(b), "normalized_technique")
+    return analytics.top_frequency(_radiation(b), "normalized_technique", 15)
 
 
 @query(
@@ -103,7 +103,7 @@ def _facets(b):
     "studies",
 )
 def _facet_counts(b):
-    return analytics.facet_counts(b.studies, "country", "nation_1")
+    return analytics.facet_counts(b.studies, "country", "nation_1", 50)
 
 
 # Hazard ratios of a line against its part's list price, with a spread that grows with the discount.
@@ -134,15 +134,15 @@ def _meta(b):
 
 @query(
     "rate_forest",
-    f"""WITH {k.SUMMARY}, t as (select study_id, substr(coalesce(study_name, document_name, 'Unknown'), 1, 50) as label,
+    f"""WITH {k.SUMMARY}, t as (select study_id, coalesce(study_name, document_name, 'Unknown') as label,
       os_rate_percent as rate, os_median_months as median_months, coalesce(number_of_patients, 0) as n, normalized_phase as phase,
-      substr(coalesce(os_raw, ''), 1, 80) as raw from summary where os_rate_percent is not null or os_median_months is not null
+      coalesce(os_raw, '') as raw from summary where os_rate_percent is not null or os_median_months is not null
       order by rate desc nulls last, study_id limit 30)
     select *, {k.rnd('avg(rate) over ()', 1)} as pooled_rate from t""",
     "studies",
 )
 def _forest(b):
-    return analytics.rate_forest(_summary(b), "os")
+    return analytics.rate_forest(_summary(b), "os", 30)
 
 
 @query(

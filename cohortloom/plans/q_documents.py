@@ -69,9 +69,9 @@ def _numbering(b):
 
 @query(
     "overview_chunk",
-    f"""WITH {SECTIONS_SQL}, kept as (select doc_id, list_filter(sections, lambda s: trim(s.content) <> '' and not {k.skip_section('s.name', 's.content')} and {k.count_in('lower(substr(s.content, 1, 300))', chunking.AUTHOR_SIGNALS)} < 3) as kept from sec),
-    o as (select doc_id, len(kept) as sections_used, trim(substr(array_to_string(list_transform(kept, lambda s: '## ' || trim(regexp_replace(trim(s.name), '^#+', '')) || {NL2} || trim(s.content)), {NL2}), 1, 20000)) as overview,
-      coalesce({k.count_in('lower(substr(kept[1].content, 1, 500))', chunking.ABSTRACT_SIGNALS)} >= 2, false) as first_is_abstract from kept)
+    f"""WITH {SECTIONS_SQL}, kept as (select doc_id, list_filter(sections, lambda s: trim(s.content) <> '' and not {k.skip_section('s.name', 's.content')} and {k.count_in('lower(s.content)', chunking.AUTHOR_SIGNALS)} < 3) as kept from sec),
+    o as (select doc_id, len(kept) as sections_used, trim(array_to_string(list_transform(kept, lambda s: '## ' || trim(regexp_replace(trim(s.name), '^#+', '')) || {NL2} || trim(s.content)), {NL2})) as overview,
+      coalesce({k.count_in('lower(kept[1].content)', chunking.ABSTRACT_SIGNALS)} >= 2, false) as first_is_abstract from kept)
     select doc_id, sections_used, {k.text_clean('overview')} as overview, first_is_abstract from o where length(overview) >= 100""",
 )
 def _overview(b):
@@ -167,16 +167,21 @@ def _clean_match_sql(x: str) -> str:
     return f"regexp_replace(trim(regexp_replace({low}, '\\s+', ' ', 'g')), '[^a-z0-9 ]', '', 'g')"
 
 
+def _grams_sql(text: str) -> str:
+    words = f"list_filter(string_split({text}, ' '), lambda x: x <> '')"
+    return f"case when length({text}) >= 20 and len({words}) >= 5 then list_distinct(list_transform(range(1, len({words}) - 3), lambda i: array_to_string(({words})[i:i + 4], ' '))) else [] end"
+
+
 @query(
     "section_align",
     f"""WITH RECURSIVE {PACK_SQL}, {SECTIONS_SQL},
-    c as (select doc_id, win as chunk_idx, {_clean_match_sql(f"substr(string_agg(part, {NL2} order by i), 1, 800)")} as c from w join t using (doc_id, i) group by 1, 2),
-    s as (select doc_id, j, s.name as name, {_clean_match_sql('s.name')} as nc, {_clean_match_sql('substr(s.content, 1, 400)')} as head from (select doc_id, unnest(sections) as s, generate_subscripts(sections, 1) as j from sec)),
-    wd as (select *, list_filter(string_split(head, ' '), lambda x: x <> '') as words from s),
-    g as (select *, case when length(head) >= 20 and len(words) >= 5 then list_transform(range(1, least(len(words) - 4, 10) + 1), lambda i: array_to_string(words[i:i + 4], ' ')) else [] end as grams from wd),
-    x as (select c.doc_id, chunk_idx, j, name, greatest(case when length(nc) >= 4 and contains(c, nc) then 100 + length(nc) else 0 end,
-      case when len(list_filter(grams, lambda k: contains(c, k))) >= 2 then 50 + len(list_filter(grams, lambda k: contains(c, k))) * 10 else 0 end,
-      case when length(head) >= 30 and contains(c, head) then 80 + length(head) else 0 end) as score from c join g using (doc_id) where length(c) >= 20)
+    c as (select doc_id, win as chunk_idx, {_clean_match_sql(f"string_agg(part, {NL2} order by i)")} as c from w join t using (doc_id, i) group by 1, 2),
+    cg as (select *, {_grams_sql('c')} as cgrams from c where length(c) >= 20),
+    s as (select doc_id, j, s.name as name, {_clean_match_sql('s.name')} as nc, {_clean_match_sql('s.content')} as body from (select doc_id, unnest(sections) as s, generate_subscripts(sections, 1) as j from sec)),
+    g as (select *, {_grams_sql('body')} as grams from s),
+    f as (select cg.doc_id, chunk_idx, c, j, name, nc, body, len(list_intersect(cgrams, grams)) as found from cg join g using (doc_id)),
+    x as (select doc_id, chunk_idx, j, name, greatest(case when length(nc) >= 4 and contains(c, nc) then 100 + length(nc) else 0 end, case when found >= 2 then 50 + found * 10 else 0 end,
+      case when length(body) >= 30 and contains(c, body) then 80 + length(body) else 0 end) as score from f)
     select doc_id, chunk_idx, max(score) as score, arg_max(name, (score, -j)) as section from x group by 1, 2 having max(score) >= 50""",
 )
 def _align(b):

@@ -64,7 +64,7 @@ def _keyword_any(b):
 )
 def _profile_search(b):
     axes = {"site": (["cancer_type"], ["breast", "lung"]), "stage": (["stage_text"], ["IIIA", "IV"]), "histology": (["cancer_type"], [])}
-    return filters.profile_search(b.studies, axes).select("study_id", "cancer_type", "publish_date")
+    return filters.profile_search(b.studies, axes, 20).select("study_id", "cancer_type", "publish_date")
 
 
 @query(
@@ -132,7 +132,7 @@ def _governance(b):
 @query(
     "skip_sections",
     f"""WITH t as (select chunk_id, section, 'Department of medicine, University hospital. ' || flag || case when line_status = 'F' then ' patient dose'  else '' end as text from hits),
-    h as (select *, trim(regexp_replace(regexp_replace(lower(trim(section)), '[#*_\\-\\d.]+', ' ', 'g'), '\\s+', ' ', 'g')) as name, lower(substr(text, 1, 500)) as head from t),
+    h as (select *, trim(regexp_replace(regexp_replace(lower(trim(section)), '[#*_\\-\\d.]+', ' ', 'g'), '\\s+', ' ', 'g')) as name, lower(text) as head from t),
     n as (select *, {' + '.join(f"cast(contains(head, {k.q(w)}) as int)" for w in filters.AFFILIATION_WORDS)} as aff,
       {' + '.join(f"cast(contains(head, {k.q(w)}) as int)" for w in filters.CONTENT_WORDS)} as cont from h)
     select chunk_id, section, {k.has_any('name', filters.SKIPPED_SECTIONS)} or (aff >= 3 and cont <= 1) as skipped from n""",
@@ -150,7 +150,7 @@ def _skip(b):
     "section_type",
     f"""WITH t as (select chunk_id, section, case when flag = 'A' then 'In conclusion, survival rose' else 'plain words' end as text from hits)
     select chunk_id, coalesce({k.case_rules("trim(regexp_replace(lower(trim(section)), '^#+', ''))", rules.SECTION_PATTERNS)},
-      {k.case_rules('lower(substr(text, 1, 300))', rules.SECTION_PATTERNS)}, 'other') as section_type from t""",
+      {k.case_rules('lower(text)', rules.SECTION_PATTERNS)}, 'other') as section_type from t""",
     "hits",
 )
 def _section_type(b):

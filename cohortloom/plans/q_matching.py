@@ -559,7 +559,7 @@ _ADDED_SQL = " || ".join(f"case when contains(low, {k.q(t)}) then [{', '.join(k.
 @query(
     "query_expand",
     f"""WITH t as (select note_id, text, lower(text) as low, case when contains(text, 'ECOG 1') then ['ECOG 1', 'PS 1', 'performance status 1'] else ['ECOG 0', 'PS 0', 'performance status 0'] end as extra from notes),
-    e as (select *, list_sort(list_distinct(list_filter({_ADDED_SQL} || extra, lambda x: not contains(low, lower(x))))) as added from t) select note_id, case when len(added) > 0 then text || ' ' || substr(array_to_string(added, ' '), 1, 12000) else text end as expanded from e""",
+    e as (select *, list_sort(list_distinct(list_filter({_ADDED_SQL} || extra, lambda x: not contains(low, lower(x))))) as added from t) select note_id, case when len(added) > 0 then text || ' ' || array_to_string(added, ' ') else text end as expanded from e""",
     "notes",
 )
 def _expand_query(b):

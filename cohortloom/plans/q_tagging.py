@@ -253,7 +253,7 @@ LEVEL_SQL = f"lv as (select study_id, coalesce({_level_sql('title', 1.0)}, {_lev
 
 
 def _levels(b):
-    return b.abstracts.select("study_id", t.evidence_level([(F.col("title"), 1.0), (F.substring("text", 1, 1000), 0.7)]).alias("r"))
+    return b.abstracts.select("study_id", t.evidence_level([(F.col("title"), 1.0), (F.col("text"), 0.7)]).alias("r"))
 
 
 @query("evidence_level", f"WITH {LEVEL_SQL} select study_id, r.level as level, r.type as type, r.confidence as confidence from lv", "abstracts")

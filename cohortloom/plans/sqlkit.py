@@ -122,8 +122,8 @@ def skip_section(name: str, text: str) -> str:
 
     clean = f"trim(regexp_replace(regexp_replace(lower(trim({name})), '[#*_\\-\\d.]+', ' ', 'g'), '\\s+', ' ', 'g'))"
     kind = case_rules(f"trim(regexp_replace(lower(trim({name})), '^#+', ''))", rules.SECTION_PATTERNS)
-    start = f"trim(substr({text}, 1, 300))"
-    head = f"lower(substr({text}, 1, 500))"
+    start = f"trim({text})"
+    head = f"lower({text})"
     return f"""({has_any(clean, filters.SKIPPED_SECTIONS)} or coalesce({kind} in ('references', 'acknowledgments', 'supplementary'), false)
       or (regexp_matches({start}, '^\\d+\\.\\s+[A-Z]') and len(regexp_extract_all({start}, '\\n\\s*\\d+\\.\\s+')) >= 3)
       or ({count_in(head, filters.AFFILIATION_WORDS)} >= 3 and {count_in(head, filters.CONTENT_WORDS)} <= 1))"""
