@@ -221,12 +221,16 @@ def normalize_category(txt: Column) -> Column:
     return first_contained(F.lower(clean), disease_rules(), F.initcap(clean))
 
 
+def technique_rules() -> list[tuple[str, list[str]]]:
+    """Technique rules in the order they are tried."""
+    rules = [(name, [name.lower(), *[s.lower() for s in alt]]) for name, alt in TECHNIQUE_SPELLINGS.items()]
+    return [*rules, ("Radiotherapy (unspecified)", ["radiotherapy", "radiation therapy"])]
+
+
 def normalize_technique(txt: Column) -> Column:
     """Canonical technique, with a catch-all for unspecified radiotherapy."""
     clean = _blank_to_null(txt)
-    rules = [(name, [name.lower(), *[s.lower() for s in alt]]) for name, alt in TECHNIQUE_SPELLINGS.items()]
-    rules.append(("Radiotherapy (unspecified)", ["radiotherapy", "radiation therapy"]))
-    return first_contained(F.lower(clean), rules, F.initcap(clean))
+    return first_contained(F.lower(clean), technique_rules(), F.initcap(clean))
 
 
 def marker_status(txt: Column) -> Column:

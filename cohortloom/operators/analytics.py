@@ -7,12 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.functions.parse import (
-    exact_avg,
-    exact_sum,
-    extract_percentage_or_proportion,
-    round_half_up,
-)
+from cohortloom.functions.parse import exact_avg, exact_sum, extract_percentage_or_proportion, metric_label, metric_unit, round_half_up
 
 METRICS = frozenset(
     "os_rate_percent os_median_months pfs_rate_percent pfs_median_months dfs_rate_percent dfs_median_months "
@@ -226,3 +221,9 @@ def priority_order(column: str, ranked: Sequence[str]) -> Column:
 def page(df: DataFrame, order: Sequence[Column], offset: int, size: int) -> DataFrame:
     """One page of an ordered list."""
     return df.orderBy(*order).offset(offset).limit(size)
+
+
+def with_labels(df: DataFrame, metric: str) -> DataFrame:
+    """A frame of metric names with their titles and units."""
+    known = lambda name: F.create_map(*[F.lit(v) for m in sorted(METRICS) for v in (m, name(m))])
+    return df.withColumns({"label": F.try_element_at(known(metric_label), F.col(metric)), "unit": F.try_element_at(known(metric_unit), F.col(metric))})

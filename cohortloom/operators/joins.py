@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -174,3 +174,18 @@ def alert_counts(alerts: DataFrame, studies: DataFrame, now: str) -> DataFrame:
         .join(counts, ["type", "days"], "left")
         .select("alert_id", "type", "frequency", F.coalesce("matches", F.lit(0)).alias("matches"), "newest")
     )
+
+
+def manifest_order(df: DataFrame, source: str, importance: str, url: str) -> DataFrame:
+    """A manifest by source, falling importance and URL, with the place of each URL in its source.
+
+    The order is one range-partitioned sort. Places come from the counts of the parts a source lies in, so that a
+    source with most of the URLs is not numbered in one task.
+    """
+    # A part holds the URLs of one source and one importance; only the parts are counted through.
+    parts = df.groupBy(source, importance).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(source).orderBy(F.desc(importance)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.withColumn("_before", before).drop("_n")
+    within = F.row_number().over(Window.partitionBy(source, importance).orderBy(url))
+    placed = df.withColumn("_i", within).join(offsets, [source, importance]).withColumn("place", (F.col("_i") + F.col("_before")).cast("int"))
+    return placed.select(source, "place", url, importance).orderBy(source, F.desc(importance), url)

@@ -278,3 +278,21 @@ def _json_path(b):
         parse.json_text(d, "$.nested.site").alias("site"),
         F.coalesce(d, F.lit("")).rlike("boost").alias("has_boost"),
     )
+
+
+# Titles and units as a reader expects them, written out.
+_LABELS = [("os_rate_percent", "Os Rate", "%"), ("os_median_months", "Os Median", " months"), ("pfs_rate_percent", "Pfs Rate", "%"), ("pfs_median_months", "Pfs Median", " months"),
+           ("dfs_rate_percent", "Dfs Rate", "%"), ("dfs_median_months", "Dfs Median", " months"), ("lc_rate_percent", "Lc Rate", "%"),
+           ("median_followup_months", "Median Followup Months", " months"), ("number_of_patients", "Number Of Patients", " patients"), ("median_age_numeric", "Median Age Numeric", " years")]
+
+
+@query(
+    "metric_labels",
+    f"WITH {k.SUMMARY}, " + ", ".join(f"m{i} as (select {k.q(m)} as metric, {k.q(label)} as label, {k.q(unit)} as unit, count({m}) as n, max(cast({m} as double)) as top from summary)" for i, (m, label, unit) in enumerate(_LABELS))
+    + " " + " union all ".join(f"select * from m{i}" for i in range(len(_LABELS))),
+    "studies",
+)
+def _labels(b):
+    metrics = sorted(analytics.METRICS)
+    wide = _summary(b).select(*[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([], metrics, "metric", "value")
+    return analytics.with_labels(wide.groupBy("metric").agg(F.count("value").alias("n"), F.max("value").alias("top")), "metric")

@@ -299,6 +299,19 @@ def _manifest(b):
     return withb.withColumn("importance", ids.url_importance(F.col("clean"), F.col("bucket"), F.col("clean").contains("/en")))
 
 
+@query(
+    "manifest_order",
+    f"""WITH {_URL_SQL}, g as (select clean, count(*) as copies from nu where clean is not null group by 1), bk as (select *, {_BUCKET_SQL} as bucket from g),
+    m as (select regexp_extract(clean, '://([^/?#]*)', 1) as source, clean, copies, cast({_IMPORTANCE_SQL} as double) as importance from bk)
+    select source, row_number() over (partition by source order by importance desc, clean) as place, clean, importance from m order by source, place""",
+)
+def _manifest_order(b):
+    grouped = b.pages.select(ids.normalize_url(F.col("url")).alias("clean")).where("clean is not null").distinct()
+    withb = grouped.withColumn("bucket", ids.url_bucket(F.col("clean")))
+    scored = withb.select(F.regexp_extract("clean", r"://([^/?#]*)", 1).alias("source"), "clean", ids.url_importance(F.col("clean"), F.col("bucket"), F.col("clean").contains("/en")).alias("importance"))
+    return joins.manifest_order(scored, "source", "importance", "clean")
+
+
 @query(
     "coverage_gaps",
     """WITH have as (select distinct source, lang from documents), need(lang) as (values ('en'), ('de'), ('es'), ('fr'), ('it')), s as (select distinct source from documents)

@@ -93,6 +93,20 @@ def _sql(b):
     )
 
 
+@query(
+    "sql_normalisers",
+    f"""WITH t as (select detail_id, study_id, {k.technique('technique')} as technique, {k.gy('total_dose')} as gy, {k.fractions('total_dose')} as fx from details)
+    select detail_id, technique, gy, fx, {k.disease('s.cancer_type')} as cancer_type from t join studies s using (study_id)""",
+    "studies details",
+)
+def _sql_normalisers(b):
+    sql.register(b.spark)
+    return b.spark.sql(
+        "select detail_id, normalize_technique(technique) as technique, extract_gy(total_dose) as gy, extract_fractions(total_dose) as fx, normalize_cancer_type(s.cancer_type) as cancer_type from {d} d join {s} s using (study_id)",
+        d=b.details, s=b.studies,
+    )
+
+
 @query("hashed_search")
 def _hashed(b):
     """Benchmark items as queries against all documents, both embedded by the default hook."""
