@@ -5,8 +5,10 @@ each pattern length a table says how far the search may shift when it looks at t
 words that end a pattern shift by nothing, and the patterns filed under them are compared directly.
 
 Defined cases: a null or empty text has no words and no hits. An item without words, or with a null id, is
-no item. Items with the same id count once. Repeated rows are judged alike, each on its own row. An empty
-benchmark leaves every document clean. Other columns are not read.
+no item. Items with the same id count once. Overlapping and equal occurrences count each word once. Repeated rows are
+judged alike, each on its own row. An empty benchmark leaves every document clean, an empty table gives an empty
+table. Texts of any length are searched whole. Other columns are not read by the report and kept by the stage, whose
+own column is named ``_contamination``.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.llm.base import written
+
 WINDOW = 13
 # One shard of the benchmark, whose search tables are broadcast, holds about so many words.
 SHARD_WORDS = 1_000_000
@@ -113,14 +117,20 @@ _FOUND_TYPE = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,item
 def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
     """All columns of ``docs`` and ``out``: the number of words, spans and items of all occurrences.
 
-    Each shard of the benchmark is searched in turn, in the same pass over the documents; a span or item
-    of one shard is added to those of the shards before. Documents are not shuffled.
+    Each shard of the benchmark is searched in turn; a span or item of one shard is added to those of the
+    shards before. Documents are not shuffled. Between two shards the rows are written, so that the driver, a
+    broadcast and a worker hold the tables of one shard at a time, about SHARD_WORDS words, however large the benchmark is.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn(out, F.lit(None).cast(_FOUND_TYPE))
-    for shard in [*shards(benchmark)] or [[]]:
-        search = _searcher(spark.sparkContext.broadcast(Search(shard)))
-        rows = rows.withColumn(out, F.pandas_udf(search, _FOUND_TYPE)(F.col(text), F.col(out)))
+    rows, found, search = docs.withColumn(out, F.lit(None).cast(_FOUND_TYPE)), False, None
+    for shard in shards(benchmark):
+        if search:
+            rows = written(rows)
+            search.unpersist()
+        search = spark.sparkContext.broadcast(Search(shard))
+        rows, found = rows.withColumn(out, F.pandas_udf(_searcher(search), _FOUND_TYPE)(F.col(text), F.col(out))), True
+    if not found:
+        rows = rows.withColumn(out, F.pandas_udf(_searcher(spark.sparkContext.broadcast(Search([]))), _FOUND_TYPE)(F.col(text), F.col(out)))
     return rows
 
 

@@ -19,7 +19,9 @@ of blocks is a task's work of its own.
 
 Defined cases: a text without words (null, empty, white space) is a class of its own and has no links.
 Repeated rows are copies of each other; so are rows that differ in doc_id only. A null doc_id is a row
-like any other; a class is named by the least doc_id in it that is not null. Other columns are not read.
+like any other; a class is named by the least doc_id in it that is not null. A similarity of exactly the bound
+is a link. Texts of any length give all their shingles. An empty table gives an empty table. Other columns are not
+read by the report and kept by the stage, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ labels every byte position of every text; the mean of the positions' probabiliti
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text if there is
 nothing to learn from. Rows whose held-out remainder is unknown (null doc_id) are never learned from.
-Repeated rows are labelled alike, each on its own row. Only doc_id, text and, for learning, lang are read.
+Repeated rows are labelled alike, each on its own row. Equal probabilities go to the label that sorts first. Every
+position of a text counts, whatever its length. An empty table gives an empty table. Only doc_id, text and, for
+learning, lang are read; the stage keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations

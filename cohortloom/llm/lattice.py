@@ -14,7 +14,9 @@ away by decoding; a space is the mark; the mark itself, and any character withou
 the pieces of its UTF-8 bytes. Decoding therefore gives every text back exactly.
 
 Defined cases: a null text has null pieces and decodes to null; an empty one has no pieces. Repeated rows
-have the same key and so the same pieces. Other columns are kept.
+have the same key and so the same pieces. Draws never tie: a path is chosen by intervals of the unit line. Texts
+of any length are cut into pieces that join without loss. An empty table gives an empty table. Other columns are kept,
+but for those that the caller names for the results: a column of the input of such a name is replaced.
 """
 
 from __future__ import annotations

@@ -2,8 +2,9 @@
 
 All of it is one projection of Spark's own functions: no shuffle, no Python. Positions are code points.
 
-Defined cases: a null or empty text has no spans and empty digests. Repeated rows are scanned alike,
-each on its own row. Other columns of the input are not read.
+Defined cases: a null or empty text has no spans and empty digests. Spans that start together go by kind as
+listed, then by end. Texts of any length are scanned whole. Repeated rows are scanned alike, each on its own row. An
+empty table gives an empty table. Other columns of the input are not read.
 """
 
 from __future__ import annotations

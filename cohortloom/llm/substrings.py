@@ -18,7 +18,8 @@ is told by anchors, so that no automaton of the whole corpus has to be broadcast
 
 Defined cases: a null or empty text has no words. Rows with a null doc_id are never reduced and reduce no
 other. Documents with the same doc_id do not reduce each other, so repeated rows keep what the first of
-them keeps. Texts of fewer than 50 words stay whole. Other columns are not read.
+them keeps. Of equal windows the one in the least doc_id stays. Texts of fewer than 50 words stay whole; longer ones
+are read whole, whatever their length. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -2,8 +2,9 @@
 with a URL are tried on it.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no rule, and the verdict
-``allow``. Repeated rows are judged alike, each on its own row. An empty table gives an empty result.
-Other columns of the input are not read.
+``allow``. Of site rules of one length the name that sorts last wins, of patterns the verdict and then the name that
+sorts last. URLs of any length are judged whole. Repeated rows are judged alike, each on its own row. An empty table
+gives an empty result. Other columns of the input are not read, so no name can clash.
 """
 
 from __future__ import annotations
