@@ -148,6 +148,37 @@ def strip_unverified(text: Column, raws: Column) -> Column:
     return F.aggregate(raws, text, step)
 
 
+# Fixed value: a percentage in an answer.
+PERCENTAGE = r"(?i)(\d+\.?\d*)\s*%"
+
+
+def stat_additions(sources: DataFrame, key: str) -> DataFrame:
+    """Per key a map from a percentage, to one decimal, to what its source states beside it.
+
+    ``sources`` has (key, ord, value, ci_low, ci_high, p_value, hr), NULL where nothing is stated. Of several sources of a
+    value the one that states most counts, then the first. One row per key and value is left before a map is built.
+    """
+    both = F.col("ci_low").isNotNull() & F.col("ci_high").isNotNull()
+    parts = F.array_compact(F.array(
+        F.when(both, F.concat(F.lit("95% CI: "), F.col("ci_low").cast("string"), F.lit("-"), F.col("ci_high").cast("string"), F.lit("%"))),
+        F.concat(F.lit("p="), F.col("p_value").cast("string")),
+        F.concat(F.lit("HR="), F.col("hr").cast("string")),
+    ))
+    said = both.cast("int") * 2 + F.col("p_value").isNotNull().cast("int") + F.col("hr").isNotNull().cast("int")
+    rows = sources.select(key, "ord", F.round("value", 1).cast("decimal(12,1)").cast("string").alias("at"), said.alias("said"), F.array_join(parts, ", ").alias("text"))
+    best = rows.groupBy(key, "at").agg(F.max_by(F.struct("said", "text"), F.struct("said", -F.col("ord"))).alias("b")).where("b.said > 0")
+    return best.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "b.text"))).alias("additions"))
+
+
+def enrich(text: Column, additions: Column) -> Column:
+    """Every percentage with a known value is followed by what its source states, in one pass over the text."""
+    found, gaps = F.regexp_extract_all(text, F.lit(PERCENTAGE), F.lit(0)), F.split(text, PERCENTAGE, -1)
+    value = lambda raw: F.round(F.regexp_extract(raw, PERCENTAGE, 1).try_cast("double"), 1).cast("decimal(12,1)").cast("string")
+    said = F.transform(found, lambda raw: F.concat(raw, F.coalesce(F.concat(F.lit(" ("), F.try_element_at(additions, value(raw)), F.lit(")")), F.lit(""))))
+    joined = F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), said, lambda gap, s: F.concat(gap, s)), "")
+    return F.concat(joined, F.element_at(gaps, -1))
+
+
 def relaxed_validation(answers: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """VERIFIED, KNOWN_CONSTANT, LIKELY_CORRECT (within 5 % of a source number) or UNVERIFIED.
 

@@ -124,7 +124,14 @@ def _band(b):
     return rows.filter(F.col("gap").isNotNull()).select("study_id", "kind", "pos", "gap")
 
 
-@query("strip_unverified")
+@query(
+    "strip_unverified",
+    f"""WITH RECURSIVE {CHECK_SQL}, bad as (select study_id, list(raw order by kind, pos, raw) as raws from ck where verdict = 'unvalidated' group by 1),
+    z as (select a.study_id, a.text, coalesce(raws, []) as raws, 0 as i from abstracts a left join bad using (study_id)
+      union all select study_id, case when instr(text, raws[i + 1]) > 0 then substr(text, 1, instr(text, raws[i + 1]) - 1) || '[unverified]' || substr(text, instr(text, raws[i + 1]) + length(raws[i + 1])) else text end, raws, i + 1 from z where i < len(raws))
+    select study_id, text as clean from z where i = len(raws)""",
+    "abstracts details stages",
+)
 def _strip(b):
     bad = _checked(b).filter(F.col("verdict") == "unvalidated")
     lists = bad.groupBy("study_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", "raw"))), lambda e: e["raw"]).alias("raws"))
@@ -133,6 +140,27 @@ def _strip(b):
     return rows.select("study_id", q.strip_unverified(F.col("text"), F.coalesce("raws", none)).alias("clean"))
 
 
+# What sources state of a study's rates: the survival rate of its abstract, and its V20 twice, the second time with less.
+_STATS = """select o_orderkey as study_id, ord, case ord when 1 then 50.0 + day(o_orderdate) else day(o_orderdate) end as value,
+  case when ord = 1 and o_orderkey % 2 = 0 then day(o_orderdate) + 47 end as ci_low, case when ord = 1 and o_orderkey % 2 = 0 then day(o_orderdate) + 53 end as ci_high,
+  case when ord = 2 or o_orderkey % 3 = 0 then '0.0' || (o_orderkey % 5 + 1) end as p_value, case when ord = 2 and o_orderkey % 4 = 0 then '0.7' || (o_orderkey % 7) end as hr
+  from {orders}"""
+
+
+@query(
+    "enrich_rates",
+    """WITH d as (select o_orderkey as study_id, day(o_orderdate) as d from orders),
+    s as (select study_id, case when study_id % 2 = 0 then '95% CI: ' || (d + 47) || '-' || (d + 53) || '%' end as ci, case when study_id % 3 = 0 then 'p=0.0' || (study_id % 5 + 1) end as p1, 'p=0.0' || (study_id % 5 + 1) as p2, case when study_id % 4 = 0 then 'HR=0.7' || (study_id % 7) end as hr, d from d),
+    m as (select a.study_id, text, 50 + d || '% ' as rate, 'V20 < ' || d || '%' as v20, concat_ws(', ', ci, p1) as one, concat_ws(', ', p2, hr) as two, d from abstracts a join s using (study_id))
+    select study_id, replace(case when d < 20 and one <> '' then replace(text, rate, trim(rate) || ' (' || one || ') ') else text end, v20, v20 || ' (' || two || ')') as enriched from m""",
+    "abstracts",
+)
+def _enrich(b):
+    rows = b.spark.sql(_STATS.replace("{orders}", "{o}"), o=b.orders.withColumn("ord", F.explode(F.array(*map(F.lit, (1, 2, 3))))))
+    stated = q.stat_additions(rows, "study_id")
+    return b.abstracts.join(stated, "study_id", "left").select("study_id", q.enrich(F.col("text"), F.coalesce("additions", F.expr("cast(map() as map<string,string>)"))).alias("enriched"))
+
+
 @query(
     "relaxed_validation",
     f"""WITH {NUM_SQL}, {SRC_SQL}, x as (select n.study_id, n.kind, n.pos, lower(n.raw) as raw, exists (select 1 from src s where s.study_id = n.study_id and lower(s.raw) = lower(n.raw)) as ex, exists (select 1 from src s where s.study_id = n.study_id and s.value > 0 and abs(n.value - s.value) / s.value <= 0.05) as nr from nums n)
