@@ -87,7 +87,8 @@ def test_filter_keeps_the_nearest(lead):
     assert compared <= len(x) * len(c)
 
 
-def test_filter_drops_most_centroids(spark):
+def test_rotation_and_filter(spark):
+    """Axes of falling variance from sums of all vectors; of vectors in groups most centroids are dropped unseen."""
     frame = spark.read.parquet(f"{SF}/embeddings.parquet")
     x = np.array([r["x"] for r in centroids.integer_vectors(frame, "vec_id", "embedding").collect()])
     rotation = centroids.rotation_of(centroids.integer_vectors(frame, "vec_id", "embedding"))
@@ -95,8 +96,14 @@ def test_filter_drops_most_centroids(spark):
     assert np.allclose(rotation.axes.T @ rotation.axes, np.eye(64), atol=1e-9) and np.allclose(rotation.mean, x.mean(axis=0))
     spread = np.diag(rotation.axes.T @ want @ rotation.axes)
     assert np.all(np.diff(spread) <= 1e-6)
-    _, _, compared = centroids.nearest(x, *rotation.apply(x.astype(float)), x[:16], rotation)
-    assert compared < 0.9 * 16 * len(x)
+    rng = np.random.default_rng(2)
+    centers = rng.integers(-60, 60, (16, 64))
+    own = rng.integers(0, 16, 400)
+    near = centers[own] + rng.integers(-3, 4, (400, 64))
+    _, axes = np.linalg.eigh(np.cov(near.T))
+    turned = centroids.Rotation(near.mean(axis=0), axes[:, ::-1], centroids.LEAD)
+    cluster, _, compared = centroids.nearest(near, *turned.apply(near.astype(float)), centers, turned)
+    assert cluster.tolist() == own.tolist() and compared < 1.1 * len(near)
 
 
 def test_clusters(spark):
