@@ -1,5 +1,7 @@
 """Every dealt query and stage on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+from hashlib import sha256
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,33 @@ def test_defined_results(odd):
     assert pages[1] == "" and pages[2] == ""
     kept = {r["doc_id"]: r for r in of("op4_line_dedup") if r["doc_id"] is not None}
     assert kept[1]["text"] is None and kept[2]["text"] == "" and kept[7]["text"] == "" and kept[7]["n_removed"] == 1
+
+
+def test_defined_values(odd):
+    """Values of the rows whose cases the docstrings define."""
+    empty = sha256(b"").hexdigest()
+
+    def by_id(name, key="doc_id"):
+        return {r[key]: r.asDict() for r in odd[name] if r[key] is not None}
+
+    fim = by_id("op13_fill_in_middle")
+    for i in (1, 2):
+        assert (fim[i]["n"], fim[i]["form"], fim[i]["prefix_chars"], fim[i]["output_sha256"], fim[i]["restored_sha256"]) == (0, "plain", None, empty, empty)
+    assert fim[3]["n"] == 1 and fim[4]["n"] == 30_000 and fim[5]["n"] == 1
+    assert fim[4]["restored_sha256"] == sha256(LONG.encode()).hexdigest()
+    same = [(r["n"], r["form"], r["output_sha256"]) for r in odd["op13_fill_in_middle"] if r["doc_id"] == 6]
+    assert len(same) == 3 and len(set(same)) == 2
+    personal = by_id("op12_personal_data")
+    assert all((r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"], r["spans"]) == (0, 0, 0, 0, empty, "") for r in personal.values())
+    clusters = sorted(((r["vec_id"] is None, r["vec_id"] or 0, r["distance"]) for r in odd["op11_centroid_clustering"]))
+    # Fewer vectors than clusters: each is a centroid of its own, or shares one with its equals.
+    assert clusters == [(False, 8, 0), (False, 8, 0), (False, 9, 0), (False, 10, 0), (True, 0, 0)]
+    assert {r["inertia"] for r in odd["op11_centroid_clustering"]} == {0}
+    cut = by_id("op5_substring_dedup")
+    assert (cut[1]["n_words"], cut[1]["n_removed"], cut[1]["kept_sha256"]) == (0, 0, empty) and cut[4]["n_removed"] == 0
+    secrets = by_id("op8_secret_scans")
+    assert (secrets[1]["base_sha256"], secrets[1]["spans"], secrets[2]["base_sha256"]) == (empty, "", empty)
+    lines = by_id("op4_line_dedup")
+    assert lines[4]["text"] == LONG and lines[5]["text"] == "x" * 70_000 and lines[3]["n_removed"] == 0 and lines[-9]["text"] == "!!! ... \n\n"
+    pages = by_id("op1_html_extraction", "page_id")
+    assert (pages[5]["n_chars"], pages[4]["text"]) == (len(pages[5]["text"]), pages[4]["text"]) and pages[6]["text"] in ("", "z")
