@@ -23,7 +23,7 @@ ROWS = documents([
 ])
 PAGES = [(None, None, None), (1, None, ""), (2, "", "<p>"), (3, "no scheme", None), (3, "no scheme", None), (4, "http://", "</p></div><p>a<b>c"), (5, "HTTP://Ä.COM:80/En?x#y", "<" * 5000), (6, "a://example.com", "<p>" * 3000 + "z")]
 VECTORS = [
-    (None, [0.5] * 64), (1, None), (2, []), (3, [0.25] * 63), (4, [None] + [0.0] * 63), (5, [float("nan")] * 64), (6, [float("inf")] + [0.0] * 63), (7, [2.0**21] + [0.0] * 63),
+    (None, [0.5] * 64), (1, None), (2, []), (3, [0.25] * 63), (4, [None] + [0.0] * 63), (5, [float("nan")] * 64), (6, [float("inf")] + [0.0] * 63), (7, [2.0**22] + [0.0] * 63),
     (8, [0.5] * 64), (8, [0.5] * 64), (9, [-0.01] + [0.0] * 63), (10, [2.0**20] + [-(2.0**20)] * 63),
 ]
 ITEMS = [(None, "an item without an id is no item"), (1, None), (2, ""), (3, "same text"), (3, "same text"), (4, "words " * 40)]
