@@ -12,6 +12,7 @@ from cohortloom.plans import sqlkit as k
 from cohortloom.plans.q_retrieval import APOOL_SQL, POOL_SQL, rnd6, sq6
 from cohortloom.plans.q_tagging import FIND_SQL, NUM_SQL
 from cohortloom.plans.registry import query
+from cohortloom.session import shuffled
 
 
 def _ranked(b):
@@ -135,7 +136,7 @@ def _band(b):
 def _strip(b):
     bad = _checked(b).filter(F.col("verdict") == "unvalidated")
     lists = bad.groupBy("study_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", "raw"))), lambda e: e["raw"]).alias("raws"))
-    rows = b.abstracts.select("study_id", "text").join(lists, "study_id", "left")
+    rows = b.abstracts.select("study_id", "text").join(shuffled(lists), "study_id", "left")
     none = F.array().cast("array<string>")
     return rows.select("study_id", q.strip_unverified(F.col("text"), F.coalesce("raws", none)).alias("clean"))
 
