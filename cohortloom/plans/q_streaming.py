@@ -29,8 +29,11 @@ def _alerts(b):
     f"WITH {ALERT_SQL} select cast(window_start as timestamp) as window_start, event_type, items, newest, alerts from ct join al using (event_type) where window_start + interval 1 day <= (select max(ts) from events) - interval 1 hour",
 )
 def _stream_alerts(b):
-    """Closed windows only: a window is written once the watermark has passed its end."""
-    stream = jobs.read_file_stream(b.spark, b.sf_dir, "events")
+    """Closed windows only: a window is written once the watermark has passed its end.
+
+    Files of the table may overlap in time, so they are one batch: none is late for another.
+    """
+    stream = jobs.read_file_stream(b.spark, b.sf_dir, "events", None)
     out = scratch_path(b.spark, "alerts")
     jobs.run_to_parquet(jobs.alert_windows(stream, _alerts(b), "ts", "event_type"), f"{out}/rows", f"{out}/checkpoint")
     return b.spark.read.parquet(f"{out}/rows").select("window_start", "event_type", "items", "newest", "alerts")

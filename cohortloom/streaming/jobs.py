@@ -23,12 +23,13 @@ VERSION_SCHEMA = T.StructType(
 )
 
 
-def read_file_stream(spark: SparkSession, root: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """A parquet table of the folder as a stream of its files."""
-    schema = spark.read.parquet(f"{root}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(root)
-    )
+def read_file_stream(spark: SparkSession, root: str, name: str, files_per_batch: int | None = 1) -> DataFrame:
+    """A parquet table, one file or a folder of files, as a stream of its files; None: all that are there in one batch."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{root}/{name}.parquet").schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    # A stream takes a single file only by a pattern.
+    return reader.parquet(f"{root}/{name}.parque[t]")
 
 
 def alert_windows(events: DataFrame, alerts: DataFrame, at: str, kind: str, delay: str = "1 hour", window: str = "1 day") -> DataFrame:
