@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.operators.tagging import signal_confidence, stage_extract, tnm_extract
+from cohortloom.operators.tagging import let, signal_confidence, stage_extract, tnm_extract
+from cohortloom.session import shuffled
 
 # Outcome statements in the order they are read, with the key and value that a match writes; {1} and {2} are its groups.
 OUTCOME_PATTERNS: list[tuple[str, str, str]] = [
@@ -68,9 +69,11 @@ def outcome_entries(text: Column) -> Column:
 
 def outcome_map(text: Column) -> Column:
     """The outcomes of a text by key, the last statement of a key kept."""
-    entries = F.reverse(outcome_entries(text))
-    first = F.filter(F.transform(entries, lambda e, i: F.struct(e.alias("e"), i.alias("i"))), lambda x: F.array_position(F.transform(entries, lambda y: y["key"]), x["e"]["key"]) == x["i"] + 1)
-    return F.map_from_entries(F.array_sort(F.transform(first, lambda x: x["e"])))
+
+    def kept(entries: Column) -> Column:
+        return let(F.transform(entries, lambda e: e["key"]), lambda keys: F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+
+    return F.map_from_entries(F.array_sort(let(F.reverse(outcome_entries(text)), kept)))
 
 
 def dose(text: Column) -> Column:
@@ -85,8 +88,8 @@ def biomarkers(text: Column) -> Column:
 
 def named(text: Column, names: list[str]) -> Column:
     """The names of a list that a text holds, sorted."""
-    low = F.lower(text)
-    return F.array_sort(F.filter(F.array(*map(F.lit, names)), lambda n: low.contains(F.lower(n))))
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(n.lower()).alias("low")) for n in names])
+    return F.array_sort(let(F.lower(text), lambda low: F.transform(F.filter(pairs, lambda p: low.contains(p["low"])), lambda p: p["name"])))
 
 
 def frame_profile(chunks: DataFrame, doc: str, chunk: str, order: str, text: str) -> DataFrame:
@@ -94,26 +97,30 @@ def frame_profile(chunks: DataFrame, doc: str, chunk: str, order: str, text: str
     treatments, agents, evidence chunks and confidence. Documents without any signal are dropped.
 
     Chunks with a signal give rows of (document, kind, key, value); they are combined per key before a document is put together.
+    A pattern is read once for the first statements and once for the lists.
     """
     t = F.col(text)
     tnm = F.array_join(tnm_extract(t), "")
     read = chunks.select(
         doc, F.col(chunk).alias("_chunk"), F.col(order).alias("_order"), F.get(stage_extract(t), F.lit(0)).alias("stage"), F.nullif(tnm, F.lit("")).alias("tnm"),
-        dose(t).alias("dose"), outcome_map(t).alias("outcomes"), biomarkers(t).alias("markers"), named(t, MODALITIES).alias("modalities"), named(t, AGENTS).alias("agents"),
+        dose(t).alias("dose"), outcome_entries(t).alias("outcomes"), biomarkers(t).alias("markers"), named(t, MODALITIES).alias("modalities"), named(t, AGENTS).alias("agents"),
     )
     profile, outcome = F.col("stage").isNotNull() | F.col("tnm").isNotNull(), F.size("outcomes") > 0
     treatment = F.col("dose").isNotNull() | (F.size("agents") > 0)
     held = read.withColumns({"_p": profile, "_t": treatment, "_o": outcome}).filter(F.col("_p") | F.col("_t") | F.col("_o"))
-    last = held.select(doc, "_order", F.explode("outcomes").alias("key", "value")).groupBy(doc, "key").agg(F.max_by("value", "_order").alias("value"))
-    merged = last.groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("outcomes"))
-    sets = [held.select(doc, F.explode(c).alias("v")).distinct().groupBy(doc).agg(F.array_sort(F.collect_list("v")).alias(c)) for c in ("markers", "modalities", "agents")]
+    item = lambda kind, key, value, at: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"), at.alias("at"))
+    listed = lambda c: F.transform(c, lambda v: item(c, v, v, F.lit(0)))
+    lists = [listed(c) for c in ("markers", "modalities", "agents")]
+    said = F.concat(F.transform("outcomes", lambda e, i: item("outcomes", e["key"], e["value"], i)), *lists)
+    items = held.select(doc, "_order", F.explode(said).alias("i")).groupBy(doc, "i.kind", "i.key").agg(F.max_by("i.value", F.struct("_order", "i.at")).alias("value"))
+    of = lambda kind, v: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, v)))
+    sets = items.groupBy(doc).agg(F.map_from_entries(of("outcomes", F.struct("key", "value"))).alias("outcomes"), *[of(c, F.col("value")).alias(c) for c in ("markers", "modalities", "agents")])
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c)
     heads = held.groupBy(doc).agg(
         first("stage"), first("tnm"), first("dose"), F.count_if("_p").alias("profile_n"), F.count_if("_t").alias("treatment_n"), F.count_if("_o").alias("outcome_n"),
         F.array_sort(F.collect_set("_chunk")).alias("evidence_ids"),
     )
-    for part in (merged, *sets):
-        heads = heads.join(part, doc, "left")
+    heads = heads.join(shuffled(sets), doc, "left")
     none = F.array().cast("array<string>")
     return heads.select(
         doc, "stage", "tnm", "dose", F.coalesce("outcomes", F.expr("cast(map() as map<string,string>)")).alias("outcomes"),
