@@ -43,7 +43,7 @@ def _occ(b):
 
 
 def _routed(b):
-    return t.slot_routing(_occ(b), "note_id")
+    return t.by_text(b.notes, "note_id", "text", t.routed_text)
 
 
 @query(
@@ -181,7 +181,8 @@ _GROUPS = [["HER2", "ERBB2"], ["Osimertinib", "Tagrisso", "EGFR TKI"], ["Gliobla
     "notes",
 )
 def _synonyms(b):
-    return t.synonym_expand(_routed(b), "note_id", _GROUPS).withColumn("synonyms", F.array_join("synonyms", ","))
+    expanded = lambda df, key, text: t.synonym_expand(t.routed_text(df, key, text), key, _GROUPS)
+    return t.by_text(b.notes, "note_id", "text", expanded).withColumn("synonyms", F.array_join("synonyms", ","))
 
 
 @query(
