@@ -239,7 +239,9 @@ _BREAK_SQL = " union all ".join(f"select case_id, study_id, '{n}' as axis, axis_
     "studies cases",
 )
 def _breakdown(b):
-    return m.match_breakdown(_structured(b), _PRESENT, "weights").withColumn("earned", rnd6(F.col("earned")))
+    # The weights of a case are joined to its best studies again: the sort of all candidates need not hold a map a row.
+    best = _structured(b).drop("weights").join(_weight_map(b), "case_id")
+    return m.match_breakdown(best, _PRESENT, "weights").withColumn("earned", rnd6(F.col("earned")))
 
 
 @query(
