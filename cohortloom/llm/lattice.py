@@ -38,7 +38,7 @@ MARK = "▁"
 # segmentations equal; large values approach the segmentation into the most frequent pieces.
 SHARPNESS = 1.0
 SLOT_BITS = 20
-# Characters whose lattices are filtered together; edges take some 400 bytes a character of new units.
+# Characters whose lattices are filtered together; edges take some 140 bytes a character of new units.
 BATCH_CHARS = 300_000
 # A byte piece stands for a character that has none; its weight does not matter, as no path avoids it.
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -120,7 +120,8 @@ class Lattices:
         ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(units)), sizes)
         left = ends[owner] - np.arange(len(letters))  # characters from here to the unit's end
-        node = np.arange(len(letters)) + owner  # node before this character
+        # Edges are the most of what a batch holds: nodes and pieces are 32-bit numbers, and what is done with is dropped.
+        node = (np.arange(len(letters)) + owner).astype(np.int32)  # node before this character
         starts, stops, ids = [], [], []
         single = np.zeros(len(letters), bool)
         at, value = np.arange(len(letters)), np.full(len(letters), m.seed, np.uint64)
@@ -145,10 +146,14 @@ class Lattices:
         bare = np.flatnonzero(~single)
         starts.append(node[bare])
         stops.append(node[bare] + 1)
-        ids.append(np.full(len(bare), -1))
-        start, stop, piece = (np.concatenate(x) for x in (starts, stops, ids))
-        order = np.argsort(stop, kind="stable")
-        self.start, self.stop, self.piece = start[order], stop[order], piece[order]
+        ids.append(np.full(len(bare), -1, np.int32))
+        del at, value, wide, owner, left, node, single
+        self.stop = np.concatenate(stops)
+        order = np.argsort(self.stop, kind="stable")
+        self.stop = self.stop[order]
+        self.start = np.concatenate(starts)[order]
+        self.piece = np.concatenate(ids)[order]
+        del starts, stops, ids, order
         self.letters = letters
         self._filter(m, len(letters) + len(units))
 
@@ -178,11 +183,14 @@ class Lattices:
             total = np.add.reduceat(share, head)
             forward[stop[head]] = high + np.log(total)
             edge_value[edges] = share / total[group]
+        del weight, of_edge, by_place
         running = np.cumsum(edge_value)
         head = np.concatenate([[True], self.stop[1:] != self.stop[:-1]]) if len(self.stop) else np.zeros(0, bool)
-        base = np.where(head, running - edge_value, 0.0)
-        base = np.maximum.accumulate(base) if len(base) else base
-        cum = np.minimum(running - base, 1.0)
+        base = np.subtract(running, edge_value, out=edge_value)
+        base[~head] = 0.0
+        np.maximum.accumulate(base, out=base)
+        running -= base
+        cum = np.minimum(running, 1.0, out=running)
         last = np.concatenate([head[1:], [True]]) if len(head) else head
         cum[last] = 1.0
         # A node draws its first edge whose cumulative probability exceeds the draw; the last one's is 1.
