@@ -50,12 +50,22 @@ def first_per_key(df: DataFrame, key: str, order: Column, columns: Sequence[str]
     return best.select(key, *[F.col("_b")[c].alias(c) for c in columns])
 
 
+# Parts that rows without a key are dealt to.
+KEY_PARTS = 1024
+
+
 def enrich_by_priority(df: DataFrame, facts: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
-    """Attach facts by the first key that matches; one equi join per key, no OR join."""
-    out = df
+    """Attach facts by the first key that matches; one equi join per key, no OR join.
+
+    Rows without a key match nothing, and would all go to one task of its join: they are dealt to parts by their other columns.
+    """
+    out, row = df, F.xxhash64(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
     for position, key in enumerate(keys):
         side = first_per_key(facts, key, F.col(order), columns)
-        out = out.join(side.select(key, F.lit(key).alias(f"_by{position}"), *[F.col(c).alias(f"_{c}{position}") for c in columns]), key, "left")
+        part = F.pmod(F.xxhash64(key), F.lit(KEY_PARTS))
+        side = side.select(key, part.alias("_part"), F.lit(key).alias(f"_by{position}"), *[F.col(c).alias(f"_{c}{position}") for c in columns])
+        dealt = out.withColumn("_part", F.when(F.col(key).isNull(), F.pmod(row, F.lit(KEY_PARTS))).otherwise(part))
+        out = dealt.join(side, [key, "_part"], "left").drop("_part")
     hit = [F.col(f"_by{p}") for p in range(len(keys))]
     picked = [
         F.coalesce(*[F.when(hit[p].isNotNull(), F.col(f"_{c}{p}")) for p in range(len(keys))]).alias(c) for c in columns

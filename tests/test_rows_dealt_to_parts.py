@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.operators import summarize
+from cohortloom.operators import joins, summarize
 
 
 @pytest.fixture
@@ -26,3 +26,13 @@ def test_rows_of_one_value_go_to_several_tasks(plain):
     out = summarize.by_distinct_value(rows, "k", "v", F.upper, "u")
     assert sorted(map(tuple, out.collect())) == [(i, "imrt" if i % 10 else None, "IMRT" if i % 10 else None) for i in range(1000)]
     assert _largest(out) < 600
+
+
+def test_rows_without_a_key_go_to_several_tasks(plain):
+    ask = plain.range(1000).select("id", F.when(F.col("id") < 50, F.col("id")).alias("a"), F.when(F.col("id") > 900, F.col("id")).alias("b"))
+    facts = plain.range(2000).select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("id").alias("n"), (F.col("id") * 2).alias("twice"))
+    out = joins.enrich_by_priority(ask, facts, ["a", "b"], "n", ["twice"])
+    assert out.columns == ["id", "a", "b", "matched_by", "twice"]
+    want = [(i, "a" if i < 50 else "b" if i > 900 else None, 2 * i if i < 50 or i > 900 else None) for i in range(1000)]
+    assert sorted((r["id"], r["matched_by"], r["twice"]) for r in out.collect()) == want
+    assert _largest(out) < 600
