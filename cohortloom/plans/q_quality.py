@@ -13,6 +13,7 @@ from cohortloom.plans.q_retrieval import APOOL_SQL, POOL_SQL, rnd6, sq6
 from cohortloom.plans.q_tagging import FIND_SQL, NUM_SQL
 from cohortloom.plans.registry import query
 from cohortloom.session import shuffled
+from cohortloom.sources.scan import dealt
 
 
 def _ranked(b):
@@ -49,7 +50,9 @@ CONS_SQL = f"""{FIND_SQL}, cf as (select distinct a.query_id, f.study_id, kind,
 
 
 def _consensus_rows(b):
-    return q.consensus(t.findings_long(b.abstracts, ["query_id", "study_id"], "text", ["dose", "survival_rate"]), "query_id", "study_id")
+    found = t.findings_long(b.abstracts, ["query_id", "study_id"], "text", ["dose", "survival_rate"])
+    # Nearly every finding is another one: counted where they are read, they would all stand in the tasks of the scan.
+    return q.consensus(dealt(found, b.rows("orders"), "query_id", "study_id"), "query_id", "study_id")
 
 
 @query("consensus", f"WITH {CONS_SQL} select * from cons", "abstracts")

@@ -4,6 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import joins, summarize
+from cohortloom.plans import q_quality
+from cohortloom.plans.registry import Bed
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -36,3 +40,9 @@ def test_rows_without_a_key_go_to_several_tasks(plain):
     want = [(i, "a" if i < 50 else "b" if i > 900 else None, 2 * i if i < 50 or i > 900 else None) for i in range(1000)]
     assert sorted((r["id"], r["matched_by"], r["twice"]) for r in out.collect()) == want
     assert _largest(out) < 600
+
+
+def test_findings_are_not_counted_in_the_scan(spark):
+    plan = q_quality._consensus(Bed(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression [query_id") < plan.index("Generate ")
+    assert plan.rindex("Aggregate [") < plan.index("RepartitionByExpression [query_id")
